@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from redactlake.llm.binary_output import op10_binary_output
+from redactlake.llm.bpe import op2_byte_bpe
+from redactlake.llm.language import op8_language
+from redactlake.llm.nearest import OP7_SQL, op7_nearest
 from redactlake.llm.sharding import op5_sharding
 
-QUERIES = {"op5_sharding": op5_sharding, "op10_binary_output": op10_binary_output}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op5_sharding": op5_sharding, "op7_nearest": op7_nearest, "op8_language": op8_language, "op10_binary_output": op10_binary_output}
+ORACLE_SQL: dict[str, str] = {"op7_nearest": OP7_SQL}
