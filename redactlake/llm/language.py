@@ -225,3 +225,20 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, *fit(docs))
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_languages(docs: DataFrame, net: BiGru, labels: list[str], least: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, of whose language the network is at least so sure. `und` never is; clean text of a known language is far above `least`."""
+    model = {k: v.copy() for k, v in net.p.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = BiGru(len(labels))
+        own.p = model
+        labeller = Labeller(own, len(labels))
+        for pdf in batches:
+            sure = labeller.documents(list(pdf["text"])).max(axis=1, initial=0)
+            yield pdf[sure >= least]
+
+    if not labels:
+        return docs.limit(0)
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInPandas(run, docs.schema)

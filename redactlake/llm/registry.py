@@ -11,9 +11,10 @@ from redactlake.llm.lm_score import op1_lm_score
 from redactlake.llm.nearest import OP7_SQL, op7_nearest
 from redactlake.llm.sharding import op5_sharding
 from redactlake.llm.simhash import op6_simhash
+from redactlake.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
-    "op1_lm_score": op1_lm_score, "op2_byte_bpe": op2_byte_bpe, "op3_decontamination": op3_decontamination, "op5_sharding": op5_sharding, "op6_simhash": op6_simhash,
+    "op1_lm_score": op1_lm_score, "op2_byte_bpe": op2_byte_bpe, "op3_decontamination": op3_decontamination, "op4_suffix_dedup": op4_suffix_dedup, "op5_sharding": op5_sharding, "op6_simhash": op6_simhash,
     "op7_nearest": op7_nearest, "op8_language": op8_language, "op9_licences": op9_licences, "op10_binary_output": op10_binary_output,
 }
 ORACLE_SQL: dict[str, str] = {"op7_nearest": OP7_SQL, "op9_licences": OP9_SQL}

@@ -137,3 +137,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, hot: int = 2
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
+    """The rows, with all their columns, whose doc_id is the smallest of its component. Of rows alike in id and text one stays; rows without an id can't be named and stay."""
+    found = near_duplicates(docs, words, most)
+    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    first = saved(first, "first-of-each")
+    kept = docs.join(first.drop("rows"), "doc_id", "left_semi")
+    if not first.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
