@@ -46,10 +46,16 @@ def _float(x) -> float | None:
         return None
 
 
+def _time(x) -> float | None:
+    """A number; what is none counts as 0."""
+    v = _float(x)
+    return 0.0 if v is not None and math.isnan(v) else v
+
+
 def _raw(item: dict) -> dict:
     text = lambda k, other: str(item.get(k, other)).strip()
     place = item.get("visual_location")
-    return {"type": text("type", "other").lower(), "value": text("value", ""), "modality": text("modality", "visual").lower(), "start_seconds": _float(item.get("start_seconds")), "end_seconds": _float(item.get("end_seconds")), "confidence": _float(item.get("confidence")), "reason": text("reason", ""), "visual_location": None if place is None else str(place).strip()}
+    return {"type": text("type", "other").lower(), "value": text("value", ""), "modality": text("modality", "visual").lower(), "start_seconds": _time(item.get("start_seconds")), "end_seconds": _time(item.get("end_seconds")), "confidence": _time(item.get("confidence")), "reason": text("reason", ""), "visual_location": None if place is None else str(place).strip()}
 
 
 

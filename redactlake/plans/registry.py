@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redactlake.plans import identity, text, timeline
+from redactlake.plans import identity, runs, text, timeline
 from redactlake.plans.common import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "identity", "text", "timeline"]
+__all__ = ["ORACLE_SQL", "QUERIES", "identity", "runs", "text", "timeline"]

@@ -1,0 +1,84 @@
+import hashlib
+import hmac
+
+import pytest
+from pyspark.sql import functions as F
+
+from redactlake.functions import jsonx
+from redactlake.functions import text as T
+
+
+def one(spark, make, *texts):
+    return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(make(F.col("text"))).collect()]
+
+
+@pytest.mark.parametrize(
+    ("find", "text", "found"),
+    [
+        (T.emails, "mail alice@example.com, x", ["alice@example.com"]),
+        (T.emails, "mail alice@example.com.", []),  # a mark right behind hides it
+        (T.ipv4s, "at 192.168.1.24 and 192.168.01.1 or 300.1.1.1", ["192.168.1.24"]),
+        (T.ipv4s, "1.2.3.4 5.6.7.8", ["1.2.3.4", "5.6.7.8"]),
+        (T.phones, "call +91 98765-43210 now", ["+91 98765-43210"]),
+        (T.phones, "card 1234567812345678", []),
+        (T.phones, "1.2.3.4", []),
+        (T.phones, "1.2.3.4 5.6.7.8", ["1.2.3.4 5.6.7.8"]),
+        (T.phones, "é12345678", []),
+        (T.account_ids, "account CUST-493821 and user-ab", ["CUST-493821"]),
+        (T.api_keys, "API_KEY=sk-demo-83hhd8282hd91jd82", ["sk-demo-83hhd8282hd91jd82"]),
+        (T.private_urls, "http://db.internal/x. http://example.com http://user:pw@db.internal http://[::1]/", ["http://db.internal/x"]),
+        (T.private_urls, "http://10.1.2.3:80, http://100.64.0.1 http://192.0.0.9", ["http://10.1.2.3:80"]),
+    ],
+)
+def test_patterns(spark, find, text, found):
+    assert one(spark, find, text) == [found]
+
+
+def test_all_kinds_in_one_line(spark):
+    line = "API_KEY=sk-demo-83hhd8282hd91jd82 email alice@example.com internal server 192.168.1.24 account CUST-493821"
+    assert {e["type"] for e in one(spark, T.entities, line)[0]} == {"api_key", "email", "ip_address", "account_id"}
+
+
+def test_nulls_and_empty_texts(spark):
+    assert one(spark, T.entities, None, "") == [None, []]
+    assert one(spark, T.normalize, "alice @ example.com", "+91 98765-43210", "日本") == ["aliceexamplecom", "919876543210", ""]
+
+
+@pytest.mark.parametrize(
+    ("value", "kind", "shown"),
+    [
+        ("  ", "email", "<empty>"), ("face_001", "face", "face_001"), ("reference_face_001", "face", "reference_face_001"), ("person_01", "user_selected_face", "pe…01"),
+        ("alice@mail.example.com", "email", "a***@m***.com"), ("@host", "email", "****@h***"), ("10.0.0.7", "ip_address", "10.***.***.7"), ("abcd", "", "****"), ("sk-abcdefgh", "api_key", "sk-…efgh"), ("+4915112345", "phone", "+4…45"),
+    ],
+)
+def test_masks(spark, value, kind, shown):
+    assert spark.createDataFrame([(value, kind)], "v string, k string").select(T.mask(F.col("v"), F.col("k"))).first()[0] == shown
+
+
+def test_fingerprint_is_hmac(spark):
+    for key in (b"k", b"x" * 100):
+        assert one(spark, lambda c, key=key: T.fingerprint(c, key), "señal", "") == [hmac.new(hashlib.sha256(key).digest() if len(key) > 64 else key, v.encode(), hashlib.sha256).hexdigest()[:12] for v in ("señal", "")]
+
+
+def parsed(spark, *answers, duration=5.0):
+    rows = spark.createDataFrame([(k, duration, a) for k, a in enumerate(answers)], "id int, clip_duration_seconds double, raw_text string")
+    return [(r["id"], r["type"], r["value"], r["start_seconds"], r["end_seconds"], r["confidence"]) for r in jsonx.parse_findings(rows).orderBy("id", "n").collect()]
+
+
+def test_model_answers(spark):
+    item = '{"type":"Email","value":"a@b.c","start_seconds":0,"end_seconds":0}'
+    assert parsed(spark, f"```json\n[{item}]\n```", f"well: [{item}] and [{item}]", '{"findings":[{"type":"x","value":"{b}","start_seconds":1,"end_seconds":14.8,"confidence":2},{"type":"cut', "no json", None, '[{"type":"a|b","value":"v"}, 3]') == [
+        (0, "email", "a@b.c", 0.0, 5.0, 0.5), (1, "email", "a@b.c", 0.0, 5.0, 0.5),
+    ] + [(2, "x", "{b}", 1.0, 5.0, 1.0)]
+    assert parsed(spark, '[{"type":null,"value":null,"confidence":NaN,"start_seconds":NaN}]') == [(0, "none", "None", 0.0, 5.0, 0.0)]
+
+
+def test_assessments(spark):
+    text = '{"timestamps":[{"index":1,"classification":"kid","confidence":0.9,"quality":"good","reason_codes":["Small Face","small-face"]},{"classification":"grown-up","confidence":0.8,"quality":"mixed"},{"index":2,"confidence":"x"}]}'
+    rows = jsonx.parse_assessments(spark.createDataFrame([(1, text, 3), (2, None, 3)], "t int, raw string, n int"), "raw", "n").orderBy("ord").collect()
+    assert [(r["index"], r["classification"], r["quality"], r["reason_codes"]) for r in rows] == [(1, "child", "good", ["small_face"]), (2, "adult", "limited", [])]
+
+
+def test_tokens(spark):
+    rows = spark.createDataFrame([(["id:", "alice", "@", "example.com", "x"], "alice@example.com"), ([], "abc"), (["ab"], "ab")], "t array<string>, v string")
+    assert [r[0] for r in rows.select(T.locate_tokens(F.col("t"), F.col("v"))).collect()] == [[1, 3], [], []]
