@@ -70,7 +70,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: floa
     if n <= most_broadcast:
         found = [w.join(keyed, "seed") for w in (windows, small)]
     else:  # the words of a document don't travel with each of its windows
-        found = [w.drop("h").join(keyed, "seed").select("doc_id", "item_id", "ih", (F.col("doc_at") - F.col("item_at")).alias("at")).distinct().join(words, F.col("doc_id").eqNullSafe(words["doc_id"])).drop(words["doc_id"]).withColumns({"doc_at": F.col("at"), "item_at": F.lit(0)}) for w in (windows, small)]
+        own = words.withColumnRenamed("doc_id", "own_id")
+        places = [w.drop("h").join(keyed, "seed").select("doc_id", "item_id", "ih", (F.col("doc_at") - F.col("item_at")).alias("doc_at"), F.lit(0).alias("item_at")).distinct() for w in (windows, small)]
+        found = [p.join(own, F.col("doc_id").eqNullSafe(F.col("own_id"))) for p in places]
     laid = found[0].select("doc_id", "item_id", "h", "ih", (F.col("doc_at") - F.col("item_at")).alias("doc_start"))
     laid = laid.unionByName(found[1].select("doc_id", "item_id", "h", "ih", (F.col("doc_at") - F.col("item_at")).alias("doc_start")))
     first = F.greatest(F.lit(0), -F.col("doc_start"))  # of the item's words, the first that lies in the text

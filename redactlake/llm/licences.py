@@ -21,7 +21,8 @@ SENTENCES = {
     "apache-2.0-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "mit-name": "released under the mit license",
     "mit-title": "mit license",
-    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "cc-by-nc-4.0-name": "licensed under cc by nc 4 0",
     "cc-by-4.0-name": "licensed under cc by 4 0",
@@ -38,8 +39,8 @@ RULES = (
     ("apache-2.0-short", "Apache-2.0", ("apache-2.0-grant", "apache-2.0-comply")),
     ("apache-2.0-name", "Apache-2.0", ("apache-2.0-grant",)),
     ("apache-2.0-header", "Apache-2.0", ("apache-2.0-header",)),
-    ("mit-text", "MIT", ("mit-title", "mit-permission", "mit-as-is")),
-    ("mit-untitled", "MIT", ("mit-permission", "mit-as-is")),
+    ("mit-text", "MIT", ("mit-title", "mit-permission", "mit-notice", "mit-as-is")),
+    ("mit-untitled", "MIT", ("mit-permission", "mit-notice", "mit-as-is")),
     ("mit-name", "MIT", ("mit-name",)),
     ("cc-by-nc-4.0-name", "CC-BY-NC-4.0", ("cc-by-nc-4.0-name",)),
     ("cc-by-4.0-name", "CC-BY-4.0", ("cc-by-4.0-name",)),
@@ -64,7 +65,8 @@ def known_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, row (tells repeated rows apart), n (place among the sentences of the text, from 0), sentence_id."""
     known = docs.sparkSession.createDataFrame(list(SENTENCES.items()), "sentence_id string, sentence string")  # a fixed table
     text = text_or_empty("text")
-    cut = docs.where(text.rlike(_HINT)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, _ENDS)).alias("n", "sentence"))
+    held = docs.select("doc_id", text.alias("text")).where(F.col("text").rlike(_HINT)).withColumn("row", F.monotonically_increasing_id())
+    cut = held.select("doc_id", "row", F.posexplode(F.split("text", _ENDS)).alias("n", "sentence"))
     return cut.withColumn("sentence", _normal(F.col("sentence"))).join(F.broadcast(known), "sentence").select("doc_id", "row", "n", "sentence_id")
 
 

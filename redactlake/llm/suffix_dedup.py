@@ -227,11 +227,16 @@ def repeated_windows(docs: DataFrame, length: int = 400, block_bytes: int = 1_00
     return settled.unionAll(found)
 
 
+_OWN = ("__k1", "__k2", "__spans")  # columns that a table of documents won't have
+
+
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    keyed = docs.withColumns({c: k for c, k in zip(("k1", "k2"), _keys(), strict=True)})
-    runs = repeated_windows(keyed.select("k1", "k2", text_or_empty("text").alias("text")), length)
-    spans = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(spans, ["k1", "k2"], "left")
+    """docs with _OWN."""
+    k1, k2, own = _OWN
+    keyed = docs.withColumns(dict(zip((k1, k2), _keys(), strict=True)))
+    runs = repeated_windows(keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), text_or_empty("text").alias("text")), length)
+    spans = runs.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list(F.struct("lo", "hi")).alias(own))
+    return keyed.join(spans, [k1, k2], "left")
 
 
 def _kept(raw: bytes, spans, length: int) -> tuple[list[bytes], int, int]:
@@ -264,7 +269,7 @@ def digests(docs: DataFrame, length: int = 400) -> DataFrame:
                 out.append((len(raw), removed, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])], axis=1)
 
-    rows = _with_spans(docs.select("doc_id", "text"), length).select("doc_id", text_or_empty("text").alias("text"), "spans")
+    rows = _with_spans(docs.select("doc_id", "text"), length).select("doc_id", text_or_empty("text").alias("text"), F.col(_OWN[2]).alias("spans"))
     return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -273,11 +278,10 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cut = [t if t is None or s is None else b"".join(_kept(t.encode(), s, length)[0]).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            yield pdf.assign(text=cut).drop(columns="spans")
+            cut = [t if t is None or s is None else b"".join(_kept(t.encode(), s, length)[0]).decode("utf-8", "ignore") for t, s in zip(pdf["text"], pdf[_OWN[2]], strict=True)]
+            yield pdf.assign(text=cut).drop(columns=_OWN[2])
 
-    rows = _with_spans(docs, length).drop("k1", "k2")
-    return rows.mapInPandas(run, docs.select(*(c for c in rows.columns if c != "spans")).schema)
+    return _with_spans(docs, length).select(*docs.columns, _OWN[2]).mapInPandas(run, docs.schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
