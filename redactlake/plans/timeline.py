@@ -50,7 +50,8 @@ def observation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.dedup_observations(rows, ["video_id"]).select("video_id", "time_ms", "x", "y", "width", "height", "confidence")
 
 
-@query()
+@query(f"""WITH {FND}, {ISL}, g AS (SELECT video_id, type, value, min(start_ms) AS start_ms, list(reason ORDER BY start_ms, end_ms, ord) AS reasons FROM isl GROUP BY video_id, type, value, island)
+SELECT video_id, 'finding_' || left(sha256(concat_ws('|', video_id, type, value, start_ms)), 8) AS id, type, value, start_ms, list_reduce(reasons, lambda a, r: CASE WHEN r = '' OR instr(a, r) > 0 THEN a WHEN a = '' THEN r ELSE a || '; ' || r END) AS reason FROM g""")
 def reason_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_findings(A.findings_in(spark, sf_dir)).select("video_id", "id", "type", "value", "start_ms", "reason")
 
@@ -174,7 +175,11 @@ def bucketed_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bucketed_best(A.detections(spark, sf_dir), ["video_id"], 8).select("video_id", "det_ord", "time_ms")
 
 
-@query()
+@query(f"""WITH RECURSIVE {DET}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY sqrt(greatest(1, width * height)::DOUBLE) * greatest(0.01::DOUBLE, confidence) DESC, time_ms, det_ord) AS r FROM det),
+walk AS (SELECT video_id, r, [time_ms] AS times, 1 AS k FROM ranked WHERE r = 1
+  UNION ALL SELECT video_id, r, times, k FROM (SELECT w.video_id, c.r, list_append(w.times, c.time_ms) AS times, w.k + 1 AS k, row_number() OVER (PARTITION BY w.video_id ORDER BY c.r) AS nth
+    FROM walk w JOIN ranked c ON c.video_id = w.video_id AND c.r > w.r WHERE w.k < 8 AND len(list_filter(w.times, lambda t: abs(t - c.time_ms) < 350)) = 0) WHERE nth = 1)
+SELECT video_id, time_ms, det_ord, x, y, width, height, confidence FROM ranked JOIN walk USING (video_id, r)""")
 def spacing_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.spaced_top(A.detections(spark, sf_dir), ["video_id"])
 
