@@ -129,3 +129,9 @@ def parse_assessments(rows: DataFrame, text: str, count: str) -> DataFrame:
     each = found.select(*(c for c in rows.columns if c not in (text, count)), F.posexplode("_a.items").alias("ord", "_i"))
     i = F.col("_i")
     return each.select(*(c for c in each.columns if c != "_i"), i["index"].alias("index"), classification(i["classification"]).alias("classification"), i["confidence"].alias("confidence"), quality(i["quality"]).alias("quality"), reason_codes(i["reason_codes"]).alias("reason_codes"))
+
+
+def message_text(content: Column) -> Column:
+    """A message's text: itself, or the text parts of a JSON list, one a line; null if the list has none."""
+    parts = F.filter(F.from_json(content, "array<struct<type:string,text:string>>"), lambda p: p["text"].isNotNull())
+    return F.when(F.ltrim(content).startswith("["), F.when(F.size(parts) > 0, F.concat_ws("\n", F.transform(parts, lambda p: p["text"])))).otherwise(content)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from redactlake.config import Config
 from redactlake.functions import geometry as G
+from redactlake.functions import spans as X
 from redactlake.functions import text as T
 from redactlake.functions.jsonx import parse_findings
 from redactlake.operators import intervals, report, sampling
 from redactlake.plans.common import DET, FND, PROF, query
-from redactlake.plans.engine import Engine, globalize
+from redactlake.plans.engine import Engine, globalize, widen
 from redactlake.sources import adapters as A
 from redactlake.sources.connectors import from_data_uri, to_data_uri
 from redactlake.streaming import streams
@@ -120,3 +121,48 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY video_id, type ORDER BY ts ROWS UNBO
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = A.table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("video_id"), F.col("event_type").alias("type"), F.lit("").alias("value"), F.col("value").alias("confidence"))
     return streams.sessions(hits, "2 hours").select("video_id", "type", "n_hits", "confidence")
+
+
+@query(f"""WITH {DET}, {FND[FND.index("fnd AS"):]}, obs AS (SELECT f.video_id, f.ord, min(d.time_ms) AS a, max(d.time_ms) AS b FROM fnd f JOIN det d ON d.video_id = f.video_id AND d.time_ms BETWEEN f.start_ms AND f.end_ms AND d.det_ord <> f.ord GROUP BY ALL)
+SELECT f.video_id, f.ord, CASE WHEN modality <> 'audio' AND a IS NOT NULL THEN greatest(0, least(start_ms, a - 250)) ELSE start_ms END AS start_ms, CASE WHEN modality <> 'audio' AND a IS NOT NULL THEN least(43000, greatest(end_ms, b + 500)) ELSE end_ms END AS end_ms FROM fnd f LEFT JOIN obs o ON o.video_id = f.video_id AND o.ord = f.ord""")
+def localized_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.findings_in(spark, sf_dir).withColumn("id", F.col("ord")).withColumn("duration_ms", F.lit(43_000).cast("bigint"))
+    seen = intervals.interval_join(A.detections(spark, sf_dir), found.select("video_id", "id", "start_ms", "end_ms"), "video_id", "time_ms", "start_ms", "end_ms", 1_000)
+    wide, _ = widen(found, seen.where("det_ord <> id").select("id", "time_ms"))
+    return wide.select("video_id", "ord", "start_ms", "end_ms")
+
+
+@query(f"WITH {DET} SELECT video_id, round_even(median(width), 0)::INTEGER AS median_width FROM det GROUP BY video_id")
+def median_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.detections(spark, sf_dir).groupBy("video_id").agg(F.bround(F.median("width")).cast("int").alias("median_width"))
+
+
+@query(f"""WITH {DET}, trk AS (SELECT video_id, time_ms // 900 AS n, min(time_ms) AS a, max(time_ms) + 900 AS b FROM det GROUP BY ALL), grd AS (SELECT video_id, unnest(range(0, max(time_ms) + 1, 300)) AS time_ms FROM det GROUP BY video_id)
+SELECT g.video_id, g.time_ms, count(*) AS active FROM grd g JOIN trk t ON t.video_id = g.video_id AND g.time_ms BETWEEN t.a AND t.b GROUP BY ALL""")
+def active_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = A.detections(spark, sf_dir).groupBy("video_id", F.floor(F.col("time_ms") / 900).alias("n")).agg(F.min("time_ms").alias("a"), (F.max("time_ms") + 900).alias("b"))
+    pairs = intervals.interval_join(A.frames(spark, sf_dir, 300), tracks, "video_id", "time_ms", "a", "b", 1_000)
+    return pairs.groupBy("video_id", "time_ms").agg(F.count(F.lit(1)).alias("active"))
+
+
+@query("""SELECT event_id, event_type AS error_type, (event_id % 600)::VARCHAR AS code, length('failed ' || event_id)::INTEGER AS message_length FROM events""")
+def server_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be told of a model server's error body: type, code, length of the message."""
+    e = F.col("event_id")
+    body = F.to_json(F.struct(F.struct(F.col("event_type").alias("type"), (e % 600).alias("code"), F.concat(F.lit("failed "), e.cast("string")).alias("message")).alias("error")))
+    rows = A.table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    of = lambda path: F.get_json_object("body", f"$.error.{path}")
+    return rows.select("event_id", F.coalesce(of("type"), F.lit("unknown")).alias("error_type"), of("code").alias("code"), F.coalesce(F.length(of("message")), F.lit(0)).alias("message_length"))
+
+
+@query(f"WITH {DET} SELECT video_id, det_ord, printf('code %d', row_number() OVER (PARTITION BY video_id ORDER BY time_ms, det_ord)) AS label FROM det WHERE det_ord % 9 = 0")
+def sequence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video_id").orderBy("time_ms", "det_ord")
+    return A.detections(spark, sf_dir).where("det_ord % 9 = 0").select("video_id", "det_ord", F.format_string("code %d", F.row_number().over(w)).alias("label"))
+
+
+@query()
+def pattern_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.inline(X.spans(F.col("text"))))

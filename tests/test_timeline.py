@@ -88,3 +88,20 @@ def test_streams(spark, tmp_path):
     q = streams.tracks(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["time_ms"], r["track_number"]) for r in spark.table("tracked").orderBy("time_ms").collect()] == [(t, 1) for t in range(0, 1000, 200)]
+
+
+def test_sessions_of_codes(spark):
+    from redactlake.operators.codes import general_sessions
+
+    hit = lambda t, o, value, x: (1, "qr_code", value, value.lower().replace(" ", ""), t, o, x, 0, 10, 10, 0.98)
+    rows = [hit(0, 0, "QR code", 0), hit(0, 1, "QR code", 100), hit(350, 2, "QR code", 2), hit(350, 3, "abc", 300), hit(350, 4, "abc", 500), hit(1700, 5, "abc", 700), hit(3052, 6, "abc", 700)]
+    df = spark.createDataFrame(rows, "video_id bigint, type string, value string, key string, time_ms bigint, ord bigint, x int, y int, width int, height int, confidence double")
+    got = sorted((r["value"], r["start_ms"], r["end_ms"], r["n_hits"]) for r in general_sessions(df).collect())
+    assert got == [("QR code 1", 0, 650, 2), ("QR code 2", 0, 300, 1), ("abc", 50, 650, 1), ("abc", 50, 2000, 2), ("abc", 2752, 3352, 1)]
+
+
+def test_message_texts(spark):
+    from redactlake.functions.jsonx import message_text
+
+    rows = spark.createDataFrame([("plain",), ('[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]',), ("[]",), (None,)], "c string")
+    assert [r[0] for r in rows.select(message_text(F.col("c"))).collect()] == ["plain", "a\nb", None, None]
