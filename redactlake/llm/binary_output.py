@@ -8,6 +8,7 @@ decoding a block.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -95,30 +96,57 @@ class DacReader:
         return out.astype(np.uint32)
 
 
-_ENCODERS: dict[str, tuple] = {}
+class WordIds:
+    """The tokenizer of one worker, with the ids (little-endian 32-bit) of the words it has met; emptied at `most` words.
 
+    The tokenizer drops white space and merges only inside words, so the ids of a text are those of its words in turn. New
+    words are encoded in texts of `together` words; a token's offset tells its word. As the tokenizer lower-cases, A-Z are
+    lower-cased beforehand, but not where that could make up the name of a special token.
+    """
 
-def _word_ids(vocab: str, words: list[bytes], most: int = 300_000) -> dict[bytes, bytes]:
-    """Ids of words (little-endian 32-bit), each distinct word encoded once for a worker; the memory is emptied at `most` words."""
-    if vocab not in _ENCODERS:
+    def __init__(self, vocab: str, most: int = 600_000, together: int = 200):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work; a task keeps to its core
         from tokenizers import Tokenizer
 
-        _ENCODERS[vocab] = (Tokenizer.from_file(vocab), {})
-    tok, known = _ENCODERS[vocab]
-    if len(known) > most:
-        known.clear()
-    new = list(set(words).difference(known))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return known
-
-
-def encode_text(vocab: str, text: str) -> bytes:
-    """The ids of a text. The tokenizer drops white space and merges only inside words, so the ids of a text are those of its words in turn."""
-    words = text.encode().split()
-    return b"".join(map(_word_ids(vocab, words).__getitem__, words))
+        self.tok, self.known, self.most, self.together = Tokenizer.from_file(vocab), {}, most, together
+
+    def learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), self.together):
+            part = words[at : at + self.together]
+            texts = [w.decode() for w in part]
+            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+            found = self.tok.encode(" ".join(texts), add_special_tokens=False)
+            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), begins) * 4
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            upto, held = at, 0
+            while upto < len(texts) and (upto == at or held + len(texts[upto]) < 2_000_000):
+                held += len(texts[upto])
+                upto += 1
+            raws = [t.encode() for t in texts[at:upto]]
+            split = [(r if b"<|" in r else r.lower()).split() for r in raws]
+            if len(self.known) > self.most:
+                self.known.clear()
+            seen: set[bytes] = set()
+            for s in split:
+                seen.update(s)
+            self.learn(list(seen.difference(self.known)))
+            out += [b"".join(map(self.known.__getitem__, s)) for s in split]
+            at = upto
+        return out
+
+
+_WORKER: dict[str, WordIds] = {}
+
+
+def encode_texts(vocab: str, texts: list[str]) -> list[bytes]:
+    if vocab not in _WORKER:
+        _WORKER[vocab] = WordIds(vocab)
+    return _WORKER[vocab].encode(texts)
 
 
 def write_segments(docs: DataFrame, vocab: str, end_id: int = 2, segment_ids: int = 1 << 19, bits: int = 8, files: int | None = None) -> DataFrame:
@@ -140,8 +168,8 @@ def write_segments(docs: DataFrame, vocab: str, end_id: int = 2, segment_ids: in
             return pd.DataFrame({"part": [part], "seg": [seg], "doc_ids": [list(names)], "counts": [list(counts)], "packed": [dac_pack(np.frombuffer(b"".join(ids), "<u4"), bits)]})
 
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                raw = encode_text(vocab, text) + tail
+            for doc_id, raw in zip(pdf["doc_id"], encode_texts(vocab, list(pdf["text"])), strict=True):
+                raw += tail
                 if held and held + len(raw) // 4 > segment_ids:
                     yield flush()
                     seg, held, ids, counts, names = seg + 1, 0, [], [], []
@@ -180,5 +208,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null text: no ids but the end id. An empty table gives no rows. Other columns are not read."""
     import public_tokenizers
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return read_documents(write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
