@@ -100,25 +100,31 @@ class WordIds:
     """The tokenizer of one worker, with the ids (little-endian 32-bit) of the words it has met; emptied at `most` words.
 
     The tokenizer drops white space and merges only inside words, so the ids of a text are those of its words in turn. New
-    words are encoded in texts of `together` words; a token's offset tells its word. As the tokenizer lower-cases, A-Z are
+    words are encoded in texts of `together` words with a mark between them, a character that is one token and in no text
+    as a rule. As the tokenizer lower-cases, A-Z are
     lower-cased beforehand, but not where that could make up the name of a special token.
     """
 
-    def __init__(self, vocab: str, most: int = 600_000, together: int = 200):
+    def __init__(self, vocab: str, most: int = 800_000, together: int = 200):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work; a task keeps to its core
         from tokenizers import Tokenizer
 
         self.tok, self.known, self.most, self.together = Tokenizer.from_file(vocab), {}, most, together
+        sole = [c for c in "\x01\x02\x03\x04" if len(self.tok.encode(c, add_special_tokens=False).ids) == 1]
+        self.between = f" {sole[0]} " if sole else " "
+        self.mark = self.tok.encode(sole[0], add_special_tokens=False).ids[0] if sole else -1
 
     def learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), self.together):
             part = words[at : at + self.together]
             texts = [w.decode() for w in part]
-            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-            found = self.tok.encode(" ".join(texts), add_special_tokens=False)
-            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), begins) * 4
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            ids = np.array(self.tok.encode(self.between.join(texts), add_special_tokens=False).ids, dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(part) - 1:  # a word holds the mark itself
+                self.known.update((w, np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()) for w, t in zip(part, texts, strict=True))
+                continue
+            raw, begins, ends = ids.tobytes(), [0, *((marks + 1) * 4).tolist()], [*(marks * 4).tolist(), len(ids) * 4]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, begins, ends, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
