@@ -38,6 +38,11 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def row_keys(*cols: str) -> list[Column]:
+    """128 bits that tell rows with different values in `cols` apart, null ids too."""
+    return [F.xxhash64(F.lit(n), *cols) for n in (1, 2)]
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(col, UPPER, LOWER)

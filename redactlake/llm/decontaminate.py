@@ -8,17 +8,24 @@ compared word by word.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import table, text_or_empty
+from redactlake.llm.common import row_keys, saved, table, text_or_empty
 
 #: Offsets of the words that count; every mask has six.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 8, 9))
 _SPAN = 1 + max(max(m) for m in MASKS)
+_DOC, _ITEM = ("__d1", "__d2"), ("__i1", "__i2")  # keys of rows; columns that a table of documents won't have
 _NONWORD = r"[^\p{L}\p{N}]+"
 
 
+def _named(cols: list[Column], names: tuple[str, ...]) -> list[Column]:
+    return [c.alias(n) for c, n in zip(cols, names, strict=True)]
+
+
 def word_hashes(text: Column) -> Column:
     """Hashes of the lower-cased words in turn."""
     words = F.filter(F.split(F.lower(text), _NONWORD), lambda w: w != "")
@@ -48,50 +55,63 @@ def _short_window(h: Column) -> Column:
     return F.xxhash64(F.lit(-1), h)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, doc_start (word at which the item's first word would stand; negative if that is before the text), n_overlap, n_equal.
-
-    A row is a benchmark item laid along a document where some `window` consecutive words (all words of a shorter item or
-    overlap of at least six) have at least `share` equal ones. Seeds find every overlap whose words agree under one of
-    MASKS somewhere, and so every exact copy of at least seven words; items of fewer words are found where a document is
-    just them. Null ids stay as they are; null and empty texts match nothing; repeated documents and items are rows of
-    their own (the same row twice if the input has it twice is returned once). Broadcast only if the benchmark has
-    `most_broadcast` windows at most; else both sides are shuffled by the seed hash.
-    """
-    items = benchmark.select(F.col("item_id"), word_hashes(text_or_empty("text")).alias("ih")).where(F.size("ih") > 0)
-    seeds = items.select("item_id", "ih", F.posexplode(_windows(F.col("ih"))).alias("mask", "hashes")).select("item_id", "ih", F.posexplode("hashes").alias("item_at", "seed"))
-    short = items.where(F.size("ih") < _SPAN).select("item_id", "ih", F.lit(0).alias("item_at"), _short_window(F.col("ih")).alias("seed"))
-    seeds = seeds.unionByName(short)
-    words = docs.select(F.col("doc_id"), word_hashes(text_or_empty("text")).alias("h")).where(F.size("h") > 0)
-    windows = words.select("doc_id", "h", F.explode(_windows(F.col("h"))).alias("hashes")).select("doc_id", "h", F.posexplode("hashes").alias("doc_at", "seed"))
-    small = words.where(F.size("h") < _SPAN).select("doc_id", "h", F.lit(0).alias("doc_at"), _short_window(F.col("h")).alias("seed"))
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of `matches`, with the keys of their document (_DOC) and of their item (_ITEM): ids may be null or repeated."""
+    items = benchmark.select(F.col("item_id"), *_named(row_keys("item_id", "text"), _ITEM), word_hashes(text_or_empty("text")).alias("ih")).where(F.size("ih") > 0).dropDuplicates(list(_ITEM))
+    item, doc = ["item_id", *_ITEM, "ih"], ["doc_id", *_DOC]
+    seeds = items.select(*item, F.explode(_windows(F.col("ih"))).alias("hashes")).select(*item, F.posexplode("hashes").alias("item_at", "seed"))
+    words = docs.select(F.col("doc_id"), *_named(row_keys("doc_id", "text"), _DOC), word_hashes(text_or_empty("text")).alias("h")).where(F.size("h") > 0)
+    windows = words.select(*doc, "h", F.explode(_windows(F.col("h"))).alias("hashes")).select(*doc, "h", F.posexplode("hashes").alias("doc_at", "seed"))
+    small = words.where(F.size("h") < _SPAN).select(*doc, "h", F.lit(0).alias("doc_at"), _short_window(F.col("h")).alias("seed"))
+    seeds = seeds.unionByName(items.where(F.size("ih") < _SPAN).select(*item, F.lit(0).alias("item_at"), _short_window(F.col("ih")).alias("seed")))
+    sides = [windows, small]
     n = seeds.limit(most_broadcast + 1).count()
     keyed = F.broadcast(seeds) if n <= most_broadcast else seeds
+    at = (F.col("doc_at") - F.col("item_at")).alias("doc_start")
     if n <= most_broadcast:
-        found = [w.join(keyed, "seed") for w in (windows, small)]
+        found = [w.join(keyed, "seed").select(*doc, *item, "h", at) for w in sides]
     else:  # the words of a document don't travel with each of its windows
-        own = words.withColumnRenamed("doc_id", "own_id")
-        places = [w.drop("h").join(keyed, "seed").select("doc_id", "item_id", "ih", (F.col("doc_at") - F.col("item_at")).alias("doc_at"), F.lit(0).alias("item_at")).distinct() for w in (windows, small)]
-        found = [p.join(own, F.col("doc_id").eqNullSafe(F.col("own_id"))) for p in places]
-    laid = found[0].select("doc_id", "item_id", "h", "ih", (F.col("doc_at") - F.col("item_at")).alias("doc_start"))
-    laid = laid.unionByName(found[1].select("doc_id", "item_id", "h", "ih", (F.col("doc_at") - F.col("item_at")).alias("doc_start")))
+        own = words.select(*_DOC, "h").dropDuplicates(list(_DOC))
+        found = [w.drop("h").join(keyed, "seed").select(*doc, *item, at).dropDuplicates([*_DOC, *_ITEM, "doc_start"]).join(own, list(_DOC)) for w in sides]
+    laid = reduce(DataFrame.unionByName, found)
     first = F.greatest(F.lit(0), -F.col("doc_start"))  # of the item's words, the first that lies in the text
     length = F.least(F.size("ih"), F.size("h") - F.col("doc_start")) - first
     equal = F.zip_with(F.slice("ih", first + 1, length), F.slice("h", F.col("doc_start") + first + 1, length), lambda a, b: (a == b).cast("int"))
-    laid = laid.select("doc_id", "item_id", "doc_start", equal.alias("equal")).dropDuplicates(["doc_id", "item_id", "doc_start"])
+    place = [*doc, "item_id", *_ITEM, "doc_start"]
+    laid = laid.select(*place, equal.alias("equal")).dropDuplicates([*_DOC, *_ITEM, "doc_start"])  # the keys hold the texts, so all rows of a place are the same
     width = F.least(F.lit(window), F.size("equal"))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda i: total(F.slice(F.col("equal"), i, width))))
-    laid = laid.select("doc_id", "item_id", "doc_start", F.size("equal").alias("n_overlap"), total(F.col("equal")).alias("n_equal"), best.alias("best"), width.alias("width"))
-    return laid.where(F.col("best") >= F.ceil(F.col("width") * share)).select("doc_id", "item_id", "doc_start", "n_overlap", "n_equal")
+    laid = laid.select(*place, F.size("equal").alias("n_overlap"), total(F.col("equal")).alias("n_equal"), best.alias("best"), width.alias("width"))
+    return laid.where(F.col("best") >= F.ceil(F.col("width") * share)).drop("best", "width")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, doc_start (word at which the item's first word would stand; negative if that is before the text), n_overlap, n_equal.
+
+    A row is a benchmark item laid along a document where some `window` consecutive words (all words of a shorter item or
+    overlap of at least six) have at least `share` equal ones. Seeds find every overlap whose words agree under one of
+    MASKS somewhere, and so every exact copy of at least seven words; items of fewer words are found where a document is
+    just them. Null ids stay as they are; null and empty texts match
+    nothing; documents and items with a repeated or null id but another text are rows of their own (the same row
+    twice if the input has it twice is returned once). Broadcast only if the benchmark has `most_broadcast` windows at
+    most; else both sides are shuffled by the seed hash.
+    """
+    return _hits(docs, benchmark, window, share, most_broadcast).select("doc_id", "item_id", "doc_start", "n_overlap", "n_equal")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8) -> DataFrame:
     """A row for each document and item that it holds some of: the place with the most equal words (ties: the first)."""
-    found = matches(docs, benchmark, window, share)
-    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("doc_start", "n_overlap", "n_equal"), F.struct("n_equal", -F.col("doc_start"))).alias("m"))
+    found = _hits(docs, benchmark, window, share)
+    best = found.groupBy("doc_id", *_DOC, "item_id", *_ITEM).agg(F.max_by(F.struct("doc_start", "n_overlap", "n_equal"), F.struct("n_equal", -F.col("doc_start"))).alias("m"))
     return best.select("doc_id", "item_id", "m.doc_start", "m.n_overlap", "m.n_equal")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that hold no item; each is judged by its own text, whatever its id."""
+    gone = saved(_hits(docs, benchmark).select(*_DOC).distinct(), "contaminated")
+    return docs.withColumns(dict(zip(_DOC, row_keys("doc_id", "text"), strict=True))).join(gone, list(_DOC), "left_anti").select(*docs.columns)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import saved, table, text_or_empty
+from redactlake.llm.common import row_keys, saved, table, text_or_empty
 from redactlake.llm.graph import components
 
 SEGMENTS = 5
@@ -40,14 +40,14 @@ def fingerprint(text: str, words: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 4, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `ids` and fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.int64)})
+            yield pd.DataFrame({**{c: pdf[c] for c in ids}, "fp": np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.int64)})
 
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select(*ids, text_or_empty("text").alias("text")).mapInPandas(run, "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in ids) + "fp long")
 
 
 def _segment(fp: Column, k: int | Column) -> Column:
@@ -139,12 +139,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+_KEY = ("__k1", "__k2")  # columns that a table of documents won't have
+
+
 def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
-    """The rows, with all their columns, whose doc_id is the smallest of its component. Of rows alike in id and text one stays; rows without an id can't be named and stay."""
-    found = near_duplicates(docs, words, most)
-    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    first = saved(first, "first-of-each")
-    kept = docs.join(first.drop("rows"), "doc_id", "left_semi")
-    if not first.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows, with all their columns, that come first in their component: the smallest doc_id, null ids last, then the least hash of id and text. Of rows alike in id and text one stays."""
+    keyed = docs.withColumns(dict(zip(_KEY, row_keys("doc_id", "text"), strict=True)))
+    fps = saved(fingerprints(keyed, words, ("doc_id", *_KEY)), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *_KEY)
+    distinct = saved(fps.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), most))
+    of_each = distinct.join(roots, distinct["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    of_each = saved(of_each.select(*(f"first.{k}" for k in _KEY)), "first-of-each")
+    kept = keyed.join(of_each, list(_KEY), "left_semi")
+    if not fps.join(of_each, list(_KEY), "left_semi").groupBy(*_KEY).count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(list(_KEY))
+    return kept.select(*docs.columns)

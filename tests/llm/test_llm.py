@@ -310,3 +310,27 @@ def test_lm_score(docs, none):
     empty_model, empty_counts = lm_score.fit(none, shape)
     assert lm_score.score(none, empty_model, empty_counts).count() == 0
     assert {(r["base_score"], r["score"]) for r in lm_score.score(docs, empty_model, empty_counts).collect()} == {(0.0, 0.0)}
+
+
+def test_decontamination_tells_rows_apart(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    false = " ".join(f"w{k}" if k < 7 else f"y{k}" for k in range(30))  # a seed, but no match
+    for order in (1, -1):
+        docs = [(1, item), (1, false), (1, "clean words"), (None, item), (None, false), (2, false)][::order]
+        bench = spark.createDataFrame([(1, item), (None, "something else altogether"), (None, item)][::order], "item_id long, text string")
+        df = spark.createDataFrame(docs, "doc_id long, text string").withColumns(extra())
+        for most in (1_000_000, 1):
+            found = decontaminate.matches(df, bench, most_broadcast=most)
+            assert Counter((r["doc_id"], r["item_id"]) for r in found.collect()) == Counter([(1, 1), (None, 1), (1, None), (None, None)])
+        left = decontaminate.without_contaminated(df, bench)
+        assert left.columns == df.columns
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, false), (1, "clean words"), (None, false), (2, false)])
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    a, b, c = (" ".join(RNG.choice("bcdfg") + str(RNG.random()) for _ in range(40)) for _ in range(3))
+    data = [(1, a), (2, a), (2, b), (None, a), (None, b), (None, c), (None, c), (3, None), (None, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns(extra())
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (2, b), (None, c), (3, None)])
