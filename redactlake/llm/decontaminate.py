@@ -8,7 +8,9 @@ compared word by word.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from redactlake.llm.common import row_keys, saved, table, text_or_empty
 
 #: Offsets of the words that count; every mask has six.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 8, 9))
-_SPAN = 1 + max(max(m) for m in MASKS)
+_LEAST = 3  # words of an item that is looked for inside longer texts
 _DOC, _ITEM = ("__d1", "__d2"), ("__i1", "__i2")  # keys of rows; columns that a table of documents won't have
 _NONWORD = r"[^\p{L}\p{N}]+"
 
@@ -32,16 +34,29 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(h: Column) -> Column:
-    """An array of (seed hash, start) for every mask and every start. A text shorter than a mask gives it one window, of all its words, so that short items still meet their copies in short texts."""
+def own_masks(n: int, share: float) -> list[tuple[int, tuple[int, ...], int]]:
+    """(tag, offsets, span) of masks over all `n` words of an item, one of which holds whichever words are changed within `share`: of two blocks more than words may change, those that stay."""
+    changed = n - math.ceil(n * share)
+    blocks = min(n, changed + 2) if changed else 1
+    cut = [n * k // blocks for k in range(blocks + 1)]
+    stay = combinations(range(blocks), blocks - changed)
+    return [(1_000 * n + k, tuple(o for x in xs for o in range(cut[x], cut[x + 1])), n) for k, xs in enumerate(stay)]
+
+
+def _hash_at(h: Column, i: Column, tag: int, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(tag), *(F.get(h, i + o) for o in mask))
+
+
+def _windows(h: Column, masks: list[tuple[int, tuple[int, ...], int]] | None = None) -> Column:
+    """For every mask (MASKS, or of (tag, offsets, span)) an array of the seed hashes of every start."""
     parts = []
-    for m, mask in enumerate(MASKS):
-        starts = F.sequence(F.lit(0), F.size(h) - (1 + max(mask)))
+    for tag, mask, span in masks or [(m, mask, 1 + max(mask)) for m, mask in enumerate(MASKS)]:
+        starts = F.sequence(F.lit(0), F.size(h) - span)
 
-        def at(i: Column, m: int = m, mask: tuple[int, ...] = mask) -> Column:
-            return F.xxhash64(F.lit(m), *(F.get(h, i + o) for o in mask))
+        def at(i: Column, tag: int = tag, mask: tuple[int, ...] = mask) -> Column:
+            return _hash_at(h, i, tag, mask)
 
-        parts.append(F.when(F.size(h) > max(mask), F.transform(starts, _one(at))).otherwise(F.array().cast("array<bigint>")))
+        parts.append(F.when(F.size(h) >= span, F.transform(starts, _one(at))).otherwise(F.array().cast("array<bigint>")))
     return F.array(*parts)
 
 
@@ -51,7 +66,7 @@ def _one(f):
 
 
 def _short_window(h: Column) -> Column:
-    """The hash of all words, for texts of fewer words than the longest mask spans."""
+    """The hash of all words, for texts of fewer than _LEAST words."""
     return F.xxhash64(F.lit(-1), h)
 
 
@@ -62,9 +77,16 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float
     seeds = items.select(*item, F.explode(_windows(F.col("ih"))).alias("hashes")).select(*item, F.posexplode("hashes").alias("item_at", "seed"))
     words = docs.select(F.col("doc_id"), *_named(row_keys("doc_id", "text"), _DOC), word_hashes(text_or_empty("text")).alias("h")).where(F.size("h") > 0)
     windows = words.select(*doc, "h", F.explode(_windows(F.col("h"))).alias("hashes")).select(*doc, "h", F.posexplode("hashes").alias("doc_at", "seed"))
-    small = words.where(F.size("h") < _SPAN).select(*doc, "h", F.lit(0).alias("doc_at"), _short_window(F.col("h")).alias("seed"))
-    seeds = seeds.unionByName(items.where(F.size("ih") < _SPAN).select(*item, F.lit(0).alias("item_at"), _short_window(F.col("ih")).alias("seed")))
+    small = words.where(F.size("h") < _LEAST).select(*doc, "h", F.lit(0).alias("doc_at"), _short_window(F.col("h")).alias("seed"))
+    seeds = seeds.unionByName(items.where(F.size("ih") < _LEAST).select(*item, F.lit(0).alias("item_at"), _short_window(F.col("ih")).alias("seed")))
     sides = [windows, small]
+    lengths = [r["n"] for r in items.select(F.size("ih").alias("n")).where(F.col("n").between(_LEAST, window)).distinct().collect()]  # at most `window` values
+    if lengths:
+        h = F.col("ih")
+        own = F.array(*(F.when(F.size(h) == n, F.array(*(_hash_at(h, F.lit(0), tag, mask) for tag, mask, _ in own_masks(n, share)))).otherwise(F.array().cast("array<bigint>")) for n in lengths))
+        seeds = seeds.unionByName(items.where(F.size("ih").isin(lengths)).select(*item, F.lit(0).alias("item_at"), F.explode(F.flatten(own)).alias("seed")))
+        short = _windows(F.col("h"), [m for n in lengths for m in own_masks(n, share)])
+        sides.append(words.select(*doc, "h", F.explode(short).alias("hashes")).select(*doc, "h", F.posexplode("hashes").alias("doc_at", "seed")))
     n = seeds.limit(most_broadcast + 1).count()
     keyed = F.broadcast(seeds) if n <= most_broadcast else seeds
     at = (F.col("doc_at") - F.col("item_at")).alias("doc_start")
@@ -90,10 +112,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: floa
     """doc_id, item_id, doc_start (word at which the item's first word would stand; negative if that is before the text), n_overlap, n_equal.
 
     A row is a benchmark item laid along a document where some `window` consecutive words (all words of a shorter item or
-    overlap of at least six) have at least `share` equal ones. Seeds find every overlap whose words agree under one of
-    MASKS somewhere, and so every exact copy of at least seven words; items of fewer words are found where a document is
-    just them. Null ids stay as they are; null and empty texts match
-    nothing; documents and items with a repeated or null id but another text are rows of their own (the same row
+    overlap of at least six) have at least `share` equal ones. Items of 3 to `window` words are found wherever they stand
+    whole in a text, whichever words are changed within `share`; longer ones are found where the words agree under one of
+    MASKS somewhere (every exact part of seven words or more, and of the 66 ways to change two of 12 words all but one).
+    Items of one or two words are found where a document is just them. Null ids stay as they are; null and empty texts
+    match nothing; documents and items with a repeated or null id but another text are rows of their own (the same row
     twice if the input has it twice is returned once). Broadcast only if the benchmark has `most_broadcast` windows at
     most; else both sides are shuffled by the seed hash.
     """

@@ -1,6 +1,7 @@
 """The operators of redactlake.llm against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -334,3 +335,19 @@ def test_one_of_each_tells_rows_apart(spark):
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (2, b), (None, c), (3, None)])
+
+
+def test_decontamination_of_short_items(spark):
+    around = lambda ws: " ".join(["before", "it", *ws, "and", "after", "it", "more", "words", "stand", "here"])
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(3, 13)}
+    docs, want = [], set()
+    for n, ws in items.items():
+        may = n - math.ceil(n * 0.8)
+        for changed in itertools.combinations(range(n), may):
+            want.add((len(docs), n))
+            docs.append((len(docs), around("zz" if k in changed else w for k, w in enumerate(ws))))
+        docs.append((len(docs), around("zz" if k <= may else w for k, w in enumerate(ws))))  # one more than may
+    bench = spark.createDataFrame([(n, " ".join(ws)) for n, ws in items.items()], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns(extra())
+    for most in (1_000_000, 1):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench, most_broadcast=most).collect()} == want
