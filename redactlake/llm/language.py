@@ -8,14 +8,14 @@ occurrence of a word counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import SPACES, ascii_lower, table, text_or_empty
+from redactlake.llm.common import SPACES, ascii_lower, saved, table, text_or_empty
 
 MAX_BYTES = 24
 
@@ -30,7 +30,7 @@ class BiGru:
     def __init__(self, labels: int, embed: int = 12, hidden: int = 16, seed: int = 5):
         rng = np.random.default_rng(seed)
         put = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.h = hidden
+        self.h, self.seen = hidden, np.zeros(1 << 24, bool)  # seen: trigrams of the words it learned from
         self.p = {"E": put(256, embed) * 8, "V": put(2 * hidden, labels), "c": np.zeros(labels, np.float32)}
         for d in "fb":
             self.p |= {"W" + d: put(embed, 3 * hidden), "U" + d: put(hidden, 3 * hidden), "b" + d: np.zeros(3 * hidden, np.float32)}
@@ -125,34 +125,47 @@ def train(words: list[tuple[bytes, np.ndarray]], labels: int, steps: int = 300,
     return net
 
 
+def trigrams(seq: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three bytes in a row as a number [T - 2, B], and where there are three with a letter (or a byte of one) in the middle."""
+    x = seq.astype(np.int32)
+    middle = x[1:-1]
+    letter = (middle >= 128) | ((middle | 32) >= 97) & ((middle | 32) <= 122)
+    return x[:-2] << 16 | middle << 8 | x[2:], letter & (live[2:, :, 0] > 0)
+
+
 _WORKER: dict[str, tuple] = {}
+LOW = 0.6  # room below the scores of held-out texts
 
 
 class Labeller:
     """The sums of a word's position distributions, each distinct word computed once; emptied at `most` words."""
 
-    def __init__(self, net: BiGru, labels: int, most: int = 400_000):
-        self.net, self.labels, self.most = net, labels, most
+    def __init__(self, net: BiGru, labels: int, most: int = 400_000, seen: np.ndarray | None = None):
+        self.net, self.labels, self.most, self.seen = net, labels, most, seen
         self.known: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, labels + 1), np.float32)
+        self.width = labels + 1 + 2 * (seen is not None)
+        self.sums = np.zeros((1024, self.width), np.float32)
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.known) > self.most:
             self.known.clear()
         first = len(self.known)
         if first + len(words) > len(self.sums):
-            self.sums = np.concatenate([self.sums[:first], np.zeros((max(first, len(words)) + len(words), self.labels + 1), np.float32)])
+            self.sums = np.concatenate([self.sums[:first], np.zeros((max(first, len(words)) + len(words), self.width), np.float32)])
         self.sums[first : first + len(words)] = 0
         pieces = sorted(((p, first + k) for k, w in enumerate(words) for p in pieces_of(w)), key=lambda x: len(x[0]))
         for at in range(0, len(pieces), 2048):
             part = pieces[at : at + 2048]
             seq, live = padded([p for p, _ in part])
             each = np.concatenate([np.exp(self.net.forward(seq, live)) * live, live], axis=2).sum(axis=0)
+            if self.seen is not None:
+                grams, there = trigrams(seq, live)
+                each = np.concatenate([each, (self.seen[grams] & there).sum(axis=0)[:, None], there.sum(axis=0)[:, None]], axis=1)
             np.add.at(self.sums, np.array([k for _, k in part]), each)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def documents(self, texts: list[str]) -> np.ndarray:
-        """Mean distribution of each text; rows of a text without words are zero."""
+        """Mean distribution of each text; rows of a text without words are zero. With `seen`: times the share of its trigrams (of letters) that the network has learned from."""
         out, at = np.zeros((len(texts), self.labels)), 0
         while at < len(texts):
             upto, held = at, 0
@@ -172,20 +185,36 @@ class Labeller:
                 if s:
                     total = self.sums[np.fromiter(map(self.known.__getitem__, s), np.int64, len(s))].sum(axis=0, dtype=np.float64)
                     out[k] = total[: self.labels] / total[self.labels]
+                    if self.seen is not None:
+                        out[k] *= total[-2] / total[-1] if total[-1] else 1
             at = upto
         return out
 
 
+def _quota(sizes: list[int], most: int) -> int:
+    """The largest q with sum(min(q, size)) of at most `most`: what a language may have so that small ones keep all of theirs."""
+    left = sorted(sizes)
+    for k, x in enumerate(left):
+        if x * (len(left) - k) > most:
+            return most // (len(left) - k)
+        most -= x
+    return max(left, default=0)
+
+
 def fit(docs: DataFrame, sample_docs: int = 2_500, most_words: int = 30_000) -> tuple[BiGru, list[str]]:
     """Learns from a bounded sample of the rows with a language and a remainder other than 1: `sample_docs` documents (mean of a
-    draw by a hash of the id and text) of whole texts, and of their distinct words the `most_words` most frequent."""
+    draw by a hash of the id) of whole texts, and of their distinct words `most_words`, the most frequent of each language.
+    Languages have like shares of both, and those with less than their share have all of it, so that rare ones are learned too."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    n = labelled.count()
-    share = min(1.0, sample_docs / max(1, n))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
-    words = drawn.select("lang", F.explode(F.split(ascii_lower(F.col("text")), SPACES)).alias("word")).where(F.col("word") != "").groupBy("word", "lang").count()
-    by_word = words.groupBy("word").agg(F.sum("count").alias("n"), F.collect_list(F.struct("lang", "count")).alias("langs"))
-    rows = by_word.orderBy(F.desc("n"), "word").limit(most_words).collect()
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    quota = _quota(list(sizes.values()), sample_docs)
+    upto = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, max(1, quota) / n) * (1 << 30)))) for x, n in sorted(sizes.items())), F.lit(0))
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < upto)
+    words = saved(drawn.select("lang", F.explode(F.split(ascii_lower(F.col("text")), SPACES)).alias("word")).where(F.col("word") != "").groupBy("word", "lang").count(), "sample-words")
+    most = max(1, _quota([r["count"] for r in words.groupBy("lang").count().collect()], most_words))
+    first = words.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("place") <= most).select("word").distinct()
+    by_word = words.join(first, "word", "left_semi").groupBy("word").agg(F.sum("count").alias("n"), F.collect_list(F.struct("lang", "count")).alias("langs"))
+    rows = by_word.orderBy(F.desc("n"), "word").collect()  # at most `most_words`
     labels = sorted({x["lang"] for r in rows for x in r["langs"]})
     place = {x: k for k, x in enumerate(labels)}
     data = []
@@ -194,7 +223,11 @@ def fit(docs: DataFrame, sample_docs: int = 2_500, most_words: int = 30_000) ->
         for x in r["langs"]:
             counts[place[x["lang"]]] = x["count"]
         data.append((r["word"].encode(), counts))
-    return train(data, len(labels)) if data else BiGru(1), labels
+    net = train(data, len(labels)) if data else BiGru(1)
+    for a in range(0, len(data), 2048):
+        at, there = trigrams(*padded([p for w, _ in data[a : a + 2048] for p in pieces_of(w)]))
+        net.seen[at[there]] = True
+    return net, labels
 
 
 def predict(docs: DataFrame, net: BiGru, labels: list[str]) -> DataFrame:
@@ -227,18 +260,48 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, net: BiGru, labels: list[str], least: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, of whose language the network is at least so sure. `und` never is; clean text of a known language is far above `least`."""
-    model = {k: v.copy() for k, v in net.p.items()}
+def _sureness(net: BiGru, labels: list[str]):
+    """A function of texts: how sure the network is of each, as a worker can hold it."""
+    model, seen = {k: v.copy() for k, v in net.p.items()}, np.packbits(net.seen)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of() -> Callable[[list[str]], np.ndarray]:
         own = BiGru(len(labels))
         own.p = model
-        labeller = Labeller(own, len(labels))
+        labeller = Labeller(own, len(labels), seen=np.unpackbits(seen).astype(bool))
+        return lambda texts: labeller.documents(texts).max(axis=1, initial=0)
+
+    return of
+
+
+def least_sure(docs: DataFrame, net: BiGru, labels: list[str], sample_docs: int = 2_500) -> float:
+    """The score below which a text is in no learned language: set from labelled rows that the network hasn't learned from (a bounded draw of each language), at LOW of that below which one in a hundred is, of the language with the lowest."""
+    held = docs.where(F.col("lang").isin(labels) & F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("doc_id").cast("string")) % 3 == 1))
+    sizes = {r["lang"]: r["count"] for r in held.groupBy("lang").count().collect()}
+    if not sizes:
+        return min(0.5, 1.5 / len(labels))
+    quota = max(1, _quota(list(sizes.values()), sample_docs))
+    upto = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, quota / n) * (1 << 30)))) for x, n in sorted(sizes.items())), F.lit(0))
+    of = _sureness(net, labels)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sure = of()
         for pdf in batches:
-            sure = labeller.documents(list(pdf["text"])).max(axis=1, initial=0)
-            yield pdf[sure >= least]
+            yield pd.DataFrame({"lang": pdf["lang"], "sure": sure(list(pdf["text"]))})
+
+    drawn = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < upto).select("lang", "text").mapInPandas(run, "lang string, sure double").toPandas()  # `sample_docs` scores
+    return LOW * float(drawn.groupby("lang")["sure"].quantile(0.01).min()) if len(drawn) else min(0.5, 1.5 / len(labels))
+
 
+def keep_languages(docs: DataFrame, net: BiGru, labels: list[str], least: float | None = None) -> DataFrame:
+    """The rows, with all their columns, of whose language the network is at least so sure (without `least`: as least_sure says). `und` never is."""
     if not labels:
         return docs.limit(0)
+    least = least_sure(docs, net, labels) if least is None else least
+    of = _sureness(net, labels)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sure = of()
+        for pdf in batches:
+            yield pdf[sure(list(pdf["text"])) >= least]
+
     return docs.where(F.col("text").rlike(r"\p{L}")).mapInPandas(run, docs.schema)

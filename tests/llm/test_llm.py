@@ -351,3 +351,27 @@ def test_decontamination_of_short_items(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns(extra())
     for most in (1_000_000, 1):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench, most_broadcast=most).collect()} == want
+
+
+def test_languages_that_are_not_known_go(spark):
+    own = random.Random(3)
+    parts = {"en": ["thing", "the", "shall", "with", "when", "other", "while", "those"], "de": ["schön", "und", "nicht", "zwischen", "der", "über", "durch", "auch"], "fr": ["être", "avec", "mais", "leçon", "où", "depuis"], "es": ["años", "con", "pero", "según", "donde", "hasta"]}
+    clean = [(k, " ".join(own.choices(parts[x], k=own.randint(8, 60))), x) for k, x in enumerate(own.choices(list(parts), k=300))]
+    foreign = ["kaupunki perustettiin keskiajalla ja siellä on edelleen paljon vanhoja taloja", "город был основан в средние века и сохранил множество старинных домов", "şehir orta çağda kuruldu ve bugün hala birçok eski eve sahiptir", "这座城市建于中世纪 至今仍保留着许多古老的房屋"]
+    random_letters = [" ".join("".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=own.randint(2, 9))) for _ in range(60)) for _ in range(6)]
+    data = clean + [(1000 + k, t, None) for k, t in enumerate(foreign + random_letters)] + [(2000, None, "en"), (2001, "12 !!", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumns(extra())
+    kept = language.keep_languages(df, *language.fit(df))
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {k for k, *_ in clean}
+
+
+def test_a_rare_language_is_learned(spark):
+    own = random.Random(4)
+    parts = {"en": [f"thing{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(8)], "fi": ["kaupunki", "siellä", "edelleen", "paljon", "vanhoja"]}
+    data = [(k, " ".join(own.choices(parts["fi" if k % 100 == 0 else "en"], k=30)), "fi" if k % 100 == 0 else "en") for k in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumns(extra())
+    net, labels = language.fit(df, sample_docs=40, most_words=60)
+    assert labels == ["en", "fi"]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, net, labels).collect()}
+    assert all(found[k] == x for k, _, x in data if x == "fi") and sum(found[k] == x for k, _, x in data) >= 0.98 * len(data)
+    assert language._quota([1, 5, 100], 30) == 24 and language._quota([10, 10], 7) == 3 and language._quota([2, 3], 30) == 3 and language._quota([], 5) == 0
