@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -166,27 +166,30 @@ def write_segments(docs: DataFrame, vocab: str, end_id: int = 2, segment_ids: in
     ordered = ordered.repartitionByRange(files, F.asc_nulls_first("doc_id"), F.asc(F.xxhash64("text"))).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc(F.xxhash64("text")))
     tail = np.array([end_id], dtype="<u4").tobytes()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seg, held, ids, counts = TaskContext.get().partitionId(), 0, 0, [], []
-        names: list = []
+    names = ("part", "seg", "doc_ids", "counts", "packed")
+    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "seg": [seg], "doc_ids": [list(names)], "counts": [list(counts)], "packed": [dac_pack(np.frombuffer(b"".join(ids), "<u4"), bits)]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seg, held, ids, counts, docs_in = TaskContext.get().partitionId(), 0, 0, [], [], []
 
-        for pdf in batches:
-            for doc_id, raw in zip(pdf["doc_id"], encode_texts(vocab, list(pdf["text"])), strict=True):
+        def flush() -> pa.RecordBatch:
+            row = (part, seg, docs_in, counts, dac_pack(np.frombuffer(b"".join(ids), "<u4"), bits))
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
+
+        for b in batches:
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), encode_texts(vocab, b.column("text").to_pylist()), strict=True):
                 raw += tail
                 if held and held + len(raw) // 4 > segment_ids:
                     yield flush()
-                    seg, held, ids, counts, names = seg + 1, 0, [], [], []
+                    seg, held, ids, counts, docs_in = seg + 1, 0, [], [], []
                 ids.append(raw)
                 counts.append(len(raw) // 4)
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                docs_in.append(doc_id)
                 held += len(raw) // 4
-        if names:
+        if docs_in:
             yield flush()
 
-    return saved(ordered.mapInPandas(pack, "part int, seg int, doc_ids array<long>, counts array<long>, packed binary"), "token-ids")
+    return saved(ordered.mapInArrow(pack, "part int, seg int, doc_ids array<long>, counts array<long>, packed binary"), "token-ids")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -197,17 +200,15 @@ def read_documents(segments: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seg")
     starts = sizes.withColumn("before_seg", F.sum("n").over(inside) - F.col("n")).join(before, "part").select("part", "seg", (F.col("before_part") + F.col("before_seg")).alias("start"))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_ids, counts, packed, start in zip(pdf["doc_ids"], pdf["counts"], pdf["packed"], pdf["start"], strict=True):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_ids, counts, packed, start in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "counts", "packed", "start")), strict=True):
                 reader, ends = DacReader(packed), np.cumsum(counts)
                 begins = ends - np.asarray(counts)
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if d is None or d != d else int(d) for d in doc_ids], dtype="Int64"), "start": start + begins, "n_tokens": np.asarray(counts),
-                    "ids_crc32": [zlib.crc32(reader.run(int(b), int(n)).astype("<u4").tobytes()) for b, n in zip(begins, counts, strict=True)],
-                })
+                sums = [zlib.crc32(reader.run(int(x), int(n)).astype("<u4").tobytes()) for x, n in zip(begins, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + begins), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(starts, ["part", "seg"]).select("doc_ids", "counts", "packed", "start").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.join(starts, ["part", "seg"]).select("doc_ids", "counts", "packed", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,10 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from redactlake.llm.common import table, text_or_empty
+from redactlake.llm.common import in_batches, table, text_or_empty
 
 #: Words of up to so many bytes go through SHORT, which contracts one pair of a word in a step.
 SHORT_BYTES = 64
@@ -65,10 +64,9 @@ class Bpe:
 
     def __init__(self, ranks_path: str, pattern: str, most: int = 500_000, batch_bytes: int = 500_000):
         import duckdb
-        import pyarrow as pa
         import regex
 
-        self.pa, self.pattern, self.inner_space = pa, regex.compile(pattern), regex.compile(r"(?<=\S) (?=\S)")
+        self.pattern, self.inner_space = regex.compile(pattern), regex.compile(r"(?<=\S) (?=\S)")
         self.near_spaces = regex.compile(r"\s\s|\A\s|\s\Z")
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -91,7 +89,7 @@ class Bpe:
         ids, ends = self.byte_id[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes)
         nid, none = np.r_[ids[1:], np.int32(0)], np.zeros(len(ids), bool)
         none[ends - 1] = True
-        return self.pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "id": ids, "nid": self.pa.array(nid.astype(np.int32), mask=none)})
+        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "id": ids, "nid": pa.array(nid.astype(np.int32), mask=none)})
 
     def _parts(self, words: list[bytes]) -> Iterator[list[bytes]]:
         """Parts of about batch_bytes; a longer word is a part of its own."""
@@ -119,7 +117,7 @@ class Bpe:
         for part in self._parts([runs[k] for k in full]):
             ids = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
             sizes = np.fromiter(map(len, part), np.int64, len(part)) // 4
-            self.db.register("run", self.pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+            self.db.register("run", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             for k, found in zip(full[done : done + len(part)], self.db.sql(DECODE).to_arrow_table().column("bytes").to_pylist(), strict=True):
                 out[k] = found
             done += len(part)
@@ -176,29 +174,35 @@ def worker_bpe(ranks_path: str, pattern: str) -> Bpe:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded binary) of every row: a null or empty text has no ids. Repeated rows stay rows; other columns are not read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe = worker_bpe(ranks_path, pattern)
-        for pdf in batches:
-            found = bpe.encode_texts(list(pdf["text"]))
-            yield pd.DataFrame({"id": pdf["id"], "ids": [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in found], "decoded": [b for _, b in found]})
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+        def work(b: pa.RecordBatch) -> dict:
+            found = bpe.encode_texts(b.column(text_col).to_pylist())
+            return {"ids": [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in found], "decoded": [d for _, d in found]}
+
+        return work
+
+    return in_batches(docs.select(id_col, text_or_empty(text_col).alias(text_col)), start, (id_col,), "ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; the digests are taken where the ids are made, so that ids don't cross to the JVM."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; the digests are taken where the ids are made, so that ids don't cross to the JVM. Null and empty texts have no ids, null doc_ids stay null, repeated rows stay rows, other columns are not read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         bpe = worker_bpe(ranks_path, pattern)
-        for pdf in batches:
-            found = bpe.encode_texts(list(pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [len(a) // 4 for a, _ in found], "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in found], "decoded_sha256": [hashlib.sha256(b).hexdigest() for _, b in found]})
 
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def work(b: pa.RecordBatch) -> dict:
+            found = bpe.encode_texts(b.column("text").to_pylist())
+            return {"n_tokens": [len(a) // 4 for a, _ in found], "ids_sha256": [hashlib.sha256(a).hexdigest() for a, _ in found], "decoded_sha256": [hashlib.sha256(d).hexdigest() for _, d in found]}
+
+        return work
+
+    return in_batches(docs.select("doc_id", text_or_empty("text").alias("text")), start, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts count as empty; the rest as in `digests`."""
     import public_tokenizers
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: ASCII white space, as bytes.split() has it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,20 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) a new local folder."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, as in tests, may leave it unset: it gets a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends there, and lost executors lose nothing."""
+    """The same rows from a table in the shared folder: lineage ends there, and lost executors lose nothing. The shuffle files of the write go with its end, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes saved tables, once all that is made of them is saved itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_batches(rows: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict]], keep: tuple[str, ...], added: str) -> DataFrame:
+    """The columns `keep` of every row, untouched (ids never become floating-point numbers), beside the columns `added` (as in a
+    DDL string) that a function of a batch returns; `start` makes that function, once for each task."""
+    fields = to_arrow_schema(StructType.fromDDL(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for b in batches:
+            if b.num_rows:
+                out = work(b)
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(out[f.name], f.type) for f in fields], names=[*keep, *fields.names])
+
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in keep] + StructType.fromDDL(added).fields))
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import SPACES, ascii_lower, saved, table, text_or_empty
+from redactlake.llm.common import SPACES, ascii_lower, in_batches, saved, table, text_or_empty
 
 MAX_BYTES = 24
 
@@ -234,23 +235,23 @@ def predict(docs: DataFrame, net: BiGru, labels: list[str]) -> DataFrame:
     """doc_id, lang_pred and score of every row. `und` with score 0: a null text, one without a letter, or no labels at all. Ties go to the label that sorts first."""
     model, key = {k: v.copy() for k, v in net.p.items()}, str(hash(tuple(x.tobytes() for x in net.p.values())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         if key not in _WORKER:
             _WORKER.clear()
             own = BiGru(len(labels))
             own.p = model
             _WORKER[key] = (Labeller(own, len(labels)),)
-        for pdf in batches:
-            found = _WORKER[key][0].documents(list(pdf["text"]))
-            best = found.argmax(axis=1)
-            sure, letters = found.max(axis=1), pdf["letters"].to_numpy()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [labels[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], "score": np.where(letters, np.clip(sure, 0, 1), 0.0)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+        def work(b: pa.RecordBatch) -> dict:
+            found, letters = _WORKER[key][0].documents(b.column("text").to_pylist()), b.column("letters").to_pylist()
+            return {"lang_pred": [labels[x] if ok else "und" for x, ok in zip(found.argmax(axis=1), letters, strict=True)], "score": np.where(letters, np.clip(found.max(axis=1), 0, 1), 0.0)}
+
+        return work
+
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
     if not labels:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return in_batches(rows, start, ("doc_id",), "lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,9 +300,12 @@ def keep_languages(docs: DataFrame, net: BiGru, labels: list[str], least: float
     least = least_sure(docs, net, labels) if least is None else least
     of = _sureness(net, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure = of()
-        for pdf in batches:
-            yield pdf[sure(list(pdf["text"])) >= least]
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(sure(b.column(text).to_pylist()) >= least))
 
-    return docs.where(F.col("text").rlike(r"\p{L}")).mapInPandas(run, docs.schema)
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -8,14 +8,13 @@ each of its bits flipped in turn on one side), longer chains prune them, and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import row_keys, saved, table, text_or_empty
+from redactlake.llm.common import forget, in_batches, row_keys, saved, table, text_or_empty
 from redactlake.llm.graph import components
 
 SEGMENTS = 5
@@ -43,11 +42,8 @@ def fingerprint(text: str, words: int = 4) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `ids` and fp (the 64 bits as a signed long) of every row; a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({**{c: pdf[c] for c in ids}, "fp": np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.int64)})
-
-    return docs.select(*ids, text_or_empty("text").alias("text")).mapInPandas(run, "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in ids) + "fp long")
+    work = lambda b: {"fp": np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.int64)}
+    return in_batches(docs.select(*ids, text_or_empty("text").alias("text")), lambda: work, ids, "fp long")
 
 
 def _segment(fp: Column, k: int | Column) -> Column:
@@ -74,47 +70,66 @@ def _chains_hold(most: int) -> Column:
     return F.coalesce(*(F.when(F.col("start") == s, from_start(s)) for s in range(SEGMENTS)))
 
 
+def _masks(width: int, bits: int) -> Column:
+    """All values of `width` bits with at most `bits` ones."""
+    return F.array(*(F.lit(sum(1 << b for b in on)).cast("long") for n in range(bits + 1) for on in combinations(range(width), n)))
+
+
+def _third(rows: DataFrame, fp: str, key: str, bits: Column | None, most: int) -> DataFrame:
+    """rows with `key`, one or more: of the segment after the two of the old key too. `bits`: how many of the second one were flipped."""
+    start = F.col("key").bitwiseAND(7)
+    third = _segment(F.col(fp), F.pmod(start + 2, F.lit(SEGMENTS)))
+    if bits is None:
+        return rows.withColumn("start", start).select("start", F.col(fp), F.xxhash64("key", third).alias(key))
+    width = lambda s: _STARTS[(s + 2) % SEGMENTS + 1] - _STARTS[(s + 2) % SEGMENTS]
+    flips = F.coalesce(*(F.when((start == s) & (bits == used), _masks(width(s), max(0, 3 * most // SEGMENTS - used))) for s in range(SEGMENTS) for used in (0, 1)))
+    return rows.withColumn("start", start).select("start", F.col(fp), F.explode(F.transform(flips, lambda m: F.xxhash64("key", third.bitwiseXOR(m)))).alias(key))
+
+
 def links(fps: DataFrame, most: int = 4, hot: int = 2_000) -> DataFrame:
     """a, b: pairs of different fingerprints (column fp, distinct) that connect the same fingerprints as all pairs of at most `most` (4) differing bits.
 
-    A key that over `hot` fingerprints share isn't joined, as its pairs would grow with their square. Its fingerprints are
-    linked through all values that differ from them in at most two bits instead: two fingerprints share such a value if and
-    only if they differ in at most four, and each is linked to the smallest that shares one, so those links grow in
+    A key that over `hot` fingerprints share isn't joined, as its pairs would grow with their square. It becomes longer
+    first, by the third segment of the chain, of which up to two bits may differ. The fingerprints of such a key that still
+    has as many are linked through all values that differ from them in at most two bits: two fingerprints share such a value
+    if and only if they differ in at most four, and each is linked to the smallest that shares one, so those links grow in
     proportion. None is lost.
     """
     if not 0 <= most < SEGMENTS:
         raise ValueError("the join key holds for up to 4 differing bits")
     key = lambda s, first, second: F.shiftleft(F.shiftleft(_segment(first, s), 16).bitwiseOR(second), 3).bitwiseOR(F.lit(s))
     fp = F.col("fp")
-    own = F.array(*(F.struct(F.lit(s).alias("start"), key(s, fp, _segment(fp, s + 1)).alias("key")) for s in range(SEGMENTS)))
+    own = F.array(*(F.struct(key(s, fp, _segment(fp, s + 1)).alias("key")) for s in range(SEGMENTS)))
     width = lambda s: _STARTS[(s + 1) % SEGMENTS + 1] - _STARTS[(s + 1) % SEGMENTS]
 
     def flipped(s: int) -> Column:
         flips = F.array(*(F.lit(v).cast("long") for v in [0, *(1 << b for b in range(width(s)))]))
-        return F.transform(flips, lambda flip: F.struct(F.lit(s).alias("start"), key(s, fp, _segment(fp, s + 1).bitwiseXOR(flip)).alias("key")))
+        return F.transform(flips, lambda flip: F.struct(F.lit(s).alias("start"), F.when(flip == 0, 0).otherwise(1).alias("bits"), key(s, fp, _segment(fp, s + 1).bitwiseXOR(flip)).alias("key")))
 
     near = F.flatten(F.array(*map(flipped, range(SEGMENTS))))
     index = fps.select(F.col("fp").alias("y"), F.inline(own)).select("y", "key")
     crowded = saved(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded-keys")
     probe = fps.select(F.col("fp").alias("x"), F.inline(near))
-    if not (any_crowded := not crowded.isEmpty()):
-        pairs = probe.join(index, "key")
-    else:
-        pairs = probe.join(index.join(crowded, "key", "left_anti"), "key")
-    pairs = pairs.where((F.col("x") < F.col("y")) & _chains_hold(most)).where(_apart(F.col("x"), F.col("y")) <= most).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if not any_crowded:
-        return pairs.distinct()
-    one = [0, *(1 << b for b in range(64))]
-    masks = sorted({(a | b) - (1 << 64) * ((a | b) >> 63) for a in one for b in one} if most == 4 else {a - (1 << 64) * (a >> 63) for a in one})
-    if most in (1, 3):  # odd: one step more on one side would be needed; these are measured after all
-        raise ValueError("crowded keys are handled for 0, 2 and 4 differing bits")
-    masks = [0] if most == 0 else masks
-    packed = [x for x in (probe.join(crowded, "key", "left_semi").select("x"), index.join(crowded, "key", "left_semi").select(F.col("y").alias("x")))]
-    inside = packed[0].unionAll(packed[1]).distinct()
-    around = inside.select("x", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).select("x", F.col("x").bitwiseXOR(F.col("mask")).alias("middle"))
+    x, y = F.col("x"), F.col("y")
+    kept = lambda pairs: pairs.where((x < y) & _chains_hold(most)).where(_apart(x, y) <= most).select(x.alias("a"), y.alias("b"))
+    if crowded.isEmpty():
+        return kept(probe.join(index, "key")).distinct()
+    pairs = kept(probe.join(index.join(crowded, "key", "left_anti"), "key"))
+    longer = saved(_third(index.join(crowded, "key"), "y", "longer", None, most), "longer-keys")
+    probe = _third(probe.join(crowded, "key"), "x", "longer", F.col("bits"), most)
+    packed = saved(longer.groupBy("longer").count().where(F.col("count") > hot).select("longer"), "packed-keys")
+    if packed.isEmpty():
+        return pairs.unionAll(kept(probe.join(longer.drop("start"), "longer"))).distinct()
+    if most in (1, 3):  # odd: one step more on one side would be needed
+        raise ValueError("packed keys are handled for 0, 2 and 4 differing bits")
+    pairs = pairs.unionAll(kept(probe.join(longer.drop("start").join(packed, "longer", "left_anti"), "longer")))
+    inside = probe.join(packed, "longer", "left_semi").select("x").unionAll(longer.join(packed, "longer", "left_semi").select(y.alias("x"))).distinct()
+    ones = [0, *(1 << b for b in range(64))]
+    masks = {0: {0}, 2: set(ones), 4: {a | b for a in ones for b in ones}}[most]
+    around = inside.select("x", F.explode(F.array(*(F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in sorted(masks)))).alias("mask")).select("x", x.bitwiseXOR(F.col("mask")).alias("middle"))
     around = saved(around, "middles")
     least = around.groupBy("middle").agg(F.min("x").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("middle", "a")
-    stars = around.join(least, "middle").where("a <> x").select("a", F.col("x").alias("b"))
+    stars = around.join(least, "middle").where("a <> x").select("a", x.alias("b"))
     return pairs.unionAll(stars).distinct()
 
 
@@ -154,4 +169,5 @@ def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     kept = keyed.join(of_each, list(_KEY), "left_semi")
     if not fps.join(of_each, list(_KEY), "left_semi").groupBy(*_KEY).count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(list(_KEY))
+    forget(fps, distinct, roots)
     return kept.select(*docs.columns)

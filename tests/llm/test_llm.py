@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,7 +154,28 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id in (5, 6)").count() == 1
 
 
-@pytest.mark.parametrize("hot", [2000, 5])
+def test_components_of_long_paths_stars_and_forests(spark):
+    path = [(k, k + 1) for k in range(5_000)]
+    star = [(1_000_000, 10_000 + k) for k in range(100_000)]
+    forest = [(200_000 + k, 200_000 + RNG.randrange(max(1, k - 30), k + 1)) for k in range(1, 3_000) if k % 100]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    edges = path + star + [e for e in forest if e[0] != e[1]]
+    RNG.shuffle(edges)
+    for a, b in edges:
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in top}
+
+
+@pytest.mark.parametrize("hot", [2000, 40, 5])
 def test_simhash_links_lose_none(spark, hot):
     fps = [RNG.getrandbits(64) for _ in range(3)]
     for _ in range(200):
@@ -182,7 +204,8 @@ def repeats(texts, length):
 
 
 def test_suffix_dedup(docs, none):
-    want = Counter((i, *x) for (i, _), x in zip(ROWS, repeats([t for _, t in ROWS], 400), strict=True))
+    texts = [t for _, t in ROWS]
+    want = Counter((i, *x, *y[1:3]) for (i, _), x, y in zip(ROWS, repeats(texts, 400), repeats(texts, 200), strict=True))
     assert rows(suffix_dedup.digests(docs)) == want
     assert suffix_dedup.digests(none).count() == 0
     cut = suffix_dedup.remove_repeats(docs)
@@ -194,13 +217,14 @@ def test_suffix_dedup_in_blocks_and_crowds(spark, crowded):
     base = "".join(RNG.choices("abcdefgh ", k=700))
     texts = ["".join(RNG.choices("abcd ", k=RNG.randint(0, 200))) + base[RNG.randint(0, 250) : RNG.randint(400, 700)] + "".join(RNG.choices("xyzé ", k=RNG.randint(0, 200))) for _ in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    keyed = df.withColumns({c: k for c, k in zip(("k1", "k2"), suffix_dedup._keys(), strict=True)})
-    spans = {}
-    for r in suffix_dedup.repeated_windows(keyed.select("k1", "k2", "text"), 150, 20_000, crowded).join(keyed.select("k1", "k2", "doc_id"), ["k1", "k2"]).collect():
-        spans.setdefault(r["doc_id"], []).append({"lo": r["lo"], "hi": r["hi"]})
-    for (n, removed, runs, sha), (i, t) in zip(repeats(texts, 150), enumerate(texts), strict=True):
-        kept, gone, count = suffix_dedup._kept(t.encode(), spans.get(i), 150)
-        assert (gone, count, hashlib.sha256(b"".join(kept)).hexdigest()) == (removed, runs, sha)
+    keyed = df.select("doc_id", F.col("doc_id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("text").cast("binary").alias("bytes"))
+    first = suffix_dedup.repeated_windows(keyed, 150, 20_000, crowded)
+    spans = {r["k1"]: r["spans"] for r in first.collect()}
+    inner = {r["k1"]: r["spans"] for r in suffix_dedup._inside(keyed.select("k1", "k2", "bytes"), first, 220, 150).collect()}
+    for length, own in ((150, spans), (220, inner)):
+        for (_, removed, runs, sha), (i, t) in zip(repeats(texts, length), enumerate(texts), strict=True):
+            gone = suffix_dedup.runs_of(own.get(i), length)
+            assert (sum(b - a for a, b in gone), len(gone), hashlib.sha256(suffix_dedup._without(t.encode(), gone)).hexdigest()) == (removed, runs, sha)
 
 
 def test_shared_suffixes():
@@ -234,9 +258,9 @@ def test_nearest(spark):
         vectors[k] = vectors[100]  # ties
     data = list(enumerate(vectors)) + [(1000, None), (1020, [0.0] * 24), (1040, [1.0] * 5), (1060, [math.nan] * 24), (1080, [math.inf] * 24), (None, vectors[0]), (1100, [None] * 24)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns(extra())
-    for blocks in (8192, 90):
+    for more in ({}, {"block_rows": 30, "block_queries": 7, "cell_rows": 40, "first_cells": 2}):
         got = {}
-        for r in nearest.search(df, 20, block_rows=blocks, block_queries=7).collect():
+        for r in nearest.search(df, 20, **more).collect():
             got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
         assert set(got) == set(range(0, 400, 20))
         hits = 0
@@ -251,6 +275,46 @@ def test_nearest(spark):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clustered", "lengths"])
+def test_nearest_on_larger_tables(spark, kind):
+    rng, n = np.random.default_rng(3), 50_000
+    x = rng.normal(size=(n, 32))
+    if kind == "clustered":
+        x = rng.normal(size=(150, 32))[rng.integers(0, 150, n)] * 2 + x * 0.5
+    if kind == "lengths":
+        x *= rng.lognormal(0, 0.5, n)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.astype(np.float32).tolist()}), "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest.search(df, 20, query_every=500).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x[::500] @ x.T
+    score[np.arange(len(score)), np.arange(0, n, 500)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert all(len(got[q]) == 20 for q in range(0, n, 500))
+    assert np.mean([len(got[q] & set(w.tolist())) / 20 for q, w in zip(range(0, n, 500), want, strict=True)]) >= 0.95
+
+
+BIG = [(2**53 + 1, "the thing with the thing"), (None, "no id of its own"), (2**60 + 7, LONG), (2**60 + 7, LONG), (-(2**62) - 3, None), (None, None)]
+
+
+def test_large_ids_beside_null_ones_stay(spark):
+    import public_tokenizers as P
+
+    df = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in BIG], "doc_id long, text string, lang string, n_chars long").coalesce(1)
+    ids = Counter(i for i, _ in BIG)
+    net, labels = language.BiGru(2), ["de", "en"]
+    results = [
+        bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), binary_output.read_documents(binary_output.write_segments(df, P.path("word_bpe_49k.json"))),
+        simhash.near_duplicates(df), suffix_dedup.digests(df), suffix_dedup.remove_repeats(df), language.predict(df, net, labels), sharding.shard(df),
+    ]
+    for got in results:
+        assert Counter(r["doc_id"] for r in got.collect()) == ids
+    assert Counter(r["doc_id"] for r in language.keep_languages(df, net, labels, 0.0).collect()) == Counter(i for i, t in BIG if t)
+    assert Counter(r["doc_id"] for r in simhash.one_of_each(df).collect()) == Counter([2**53 + 1, None, 2**60 + 7, -(2**62) - 3])
+    item = spark.createDataFrame([(2**53 + 1, LONG)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, item).collect()} == {(2**60 + 7, 2**53 + 1)}
+
+
 def test_language(spark):
     parts = {"en": ["thing", "the", "shall", "with", "when"], "de": ["schön", "und", "nicht", "zwischen", "der"], "fr": ["être", "avec", "mais", "leçon", "où"]}
     data = [(k, " ".join(RNG.choices(parts[x], k=RNG.randint(5, 60))), x) for k, x in enumerate(RNG.choices(list(parts), k=300))] + [(1000, None, "en"), (1001, "", "en"), (1002, "12 !!", None), (None, "the thing", "en"), (1003, "x" * 5000, None)]

@@ -46,13 +46,13 @@ def test_pipeline(spark, tables):
     groups = brute_groups([plain_fingerprint(t) for _, t in left], lambda a, b: (a ^ b).bit_count() <= 4)
     left = [left[g] for g in sorted(set(groups))]
     raws = [t.encode() for _, t in left]
-    seen = Counter(r[p : p + 400] for r in raws for p in range(len(r) - 399))
+    seen = Counter(r[p : p + 200] for r in raws for p in range(len(r) - 199))
     cut = []
     for (i, _), r in zip(left, raws, strict=True):
         mask = np.ones(len(r), bool)
-        for p in range(len(r) - 399):
-            if seen[r[p : p + 400]] > 1:
-                mask[p : p + 400] = False
+        for p in range(len(r) - 199):
+            if seen[r[p : p + 200]] > 1:
+                mask[p : p + 200] = False
         cut.append((i, np.frombuffer(r, np.uint8)[mask].tobytes().decode("utf-8", "ignore")))
     assert sum(len(t) for _, t in cut) < sum(len(t) for _, t in left)  # the shared passage is gone
     left = [(i, t) for i, t in cut if t and item not in t]
