@@ -176,9 +176,9 @@ def repeated_windows(rows: DataFrame, length: int = 400, block_bytes: int = 1_00
     lo, hi: runs of window starts whose windows occur elsewhere too), a saved table with the rows that have any."""
     rows = rows.where(F.length("bytes") >= length).select("k1", "k2", "bytes")
     every = saved(_occurrences(rows, length), "anchors")
-    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    twice = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors-seen-twice")  # saved, so that Spark can split the join where an anchor is hot
     occurrences = saved(every.join(twice, "anchor"), "repeated-anchors")
-    forget(every)
+    forget(every, twice)
     context = ["anchor", "c1", "c2"]
     contexts = saved(occurrences.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_PLACE)).alias("at")), "contexts")
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants"), F.min("n").alias("least"), F.sum(F.col("at.hi") - F.col("at.lo") + length).alias("bytes")).where("variants > 1 and least = 1")
