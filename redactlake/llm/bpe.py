@@ -5,6 +5,9 @@ tokens. Words are rows of (word, position, token); the recursive query joins nei
 each word's leftmost pair of least rank, and goes on until no word has a pair left. Ordered aggregation then gives the ids
 of a word, and the bytes of a run of ids. A worker encodes a distinct word, and decodes a distinct run of ids, once; texts
 are put together from those.
+
+A long word is cut first wherever no token of the vocabulary that occurs in it stands on both sides: every contraction makes
+such a token, so none ever goes across, and the parts have the same ids on their own.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redactlake.llm.common import in_batches, table, text_or_empty
 
-#: Words of up to so many bytes go through SHORT, which contracts one pair of a word in a step.
+#: Words, and parts of longer words, of up to so many bytes go through SHORT, which contracts one pair of a word in a step.
 SHORT_BYTES = 64
 
 #: nid is the token that follows in the word, or null.
@@ -35,8 +39,9 @@ WITH RECURSIVE t(w, step, pos, id, nid) AS (
 SELECT w, list(id ORDER BY pos) AS ids FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) GROUP BY w ORDER BY w
 """
 
-#: For long words: where no pair with the new token can have a lower rank (safe), all pairs of the least rank that don't
+#: For long parts, such as runs of one letter: where no pair with the new token can have a lower rank (safe), all pairs of the least rank that don't
 #: overlap are contracted at once, from the left; the result is the same, in as many steps as the word has different ranks.
+#: A query takes some steps, so that few of them are held at a time, and is asked again with what it has left.
 LONG = """
 WITH RECURSIVE t(w, step, pos, id) AS (
   SELECT w, 0, pos, id FROM base
@@ -48,7 +53,7 @@ WITH RECURSIVE t(w, step, pos, id) AS (
           SELECT p.*, g.id AS mid, g.safe AS safe, min(g.id) OVER (PARTITION BY w) AS least FROM (
             SELECT w, step, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nid, row_number() OVER (PARTITION BY w ORDER BY pos) AS k FROM t
           ) p LEFT JOIN merges g ON g.l = p.id AND g.r = p.nid
-        ) WHERE least IS NOT NULL
+        ) WHERE least IS NOT NULL AND step < 12
       )
     )
   ) WHERE NOT gone
@@ -62,7 +67,7 @@ DECODE = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM run JO
 class Bpe:
     """The tokenizer of one worker."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 500_000, batch_bytes: int = 500_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 300_000, batch_bytes: int = 128_000):
         import duckdb
         import regex
 
@@ -76,7 +81,7 @@ class Bpe:
         merges = pa.table({"l": left, "r": right, "id": ids, "safe": ~np.isin(ids, unsafe)})  # noqa: F841
         vocab = pa.table({"id": np.array(list(self.ranks.values()), dtype=np.int32), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False, "temp_directory": ""})  # a word that needs more fails, and doesn't fill the machine's disk
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.most, self.batch_bytes = most, batch_bytes
@@ -84,12 +89,25 @@ class Bpe:
         self.starts: dict[str, tuple[bytes, bytes]] = {}  # what stands before the first inner space of a text -> its ids and their bytes
         self.inner: dict[str, tuple[bytes, bytes]] = {}  # what follows an inner space, up to the next one
 
-    def _rows(self, words: list[bytes]):
-        sizes = np.array([len(w) for w in words])
-        ids, ends = self.byte_id[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes)
+    def _rows(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        ends = np.cumsum(sizes)
         nid, none = np.r_[ids[1:], np.int32(0)], np.zeros(len(ids), bool)
         none[ends - 1] = True
-        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "id": ids, "nid": pa.array(nid.astype(np.int32), mask=none)})
+        return pa.table({"w": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) - np.repeat(ends - sizes, sizes)).astype(np.int32), "id": ids, "nid": pa.array(nid.astype(np.int32), mask=none)})
+
+    def _contract(self, query: str, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word, by the query, until nothing changes."""
+        ids, sizes = self.byte_id[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words])
+        if query is LONG:
+            self.db.execute(f"SET memory_limit = '{200 + len(ids) // 2_000}MB'")
+        while True:
+            self.db.register("base", self._rows(ids, sizes))
+            found = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
+            before, ids, sizes = len(ids), found.values.to_numpy().astype(np.int32), np.diff(found.offsets.to_numpy())
+            if query is SHORT or len(ids) == before:
+                break
+        flat, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes) * 4
+        return (flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def _parts(self, words: list[bytes]) -> Iterator[list[bytes]]:
         """Parts of about batch_bytes; a longer word is a part of its own."""
@@ -97,17 +115,39 @@ class Bpe:
         cuts = [0, *(np.flatnonzero(np.diff(bins)) + 1).tolist(), len(words)]
         return (words[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
+    @cached_property
+    def _tokens(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for token in self.ranks:
+            if len(token) > 1:
+                found.add_word(token.decode("latin-1"), len(token))
+        found.make_automaton()
+        return found
+
+    def parts_of(self, word: bytes) -> list[bytes]:
+        """The word, cut between all bytes that no token in it holds both of."""
+        first = np.arange(len(word))  # of the longest token that ends at a byte
+        for end, size in self._tokens.iter(word.decode("latin-1")):
+            if end - size + 1 < first[end]:
+                first[end] = end - size + 1
+        over = np.zeros(len(word) + 1, np.int64)  # over[k]: tokens that hold both byte k - 1 and byte k
+        np.add.at(over, first + 1, 1)
+        np.add.at(over, np.arange(len(word)) + 1, -1)
+        cuts = np.flatnonzero(np.cumsum(over)[1 : len(word)] == 0) + 1
+        return [word[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)], strict=True)]
+
     def encode_words(self, words: Iterable[bytes]) -> list[bytes]:
         """Ids (little-endian 32-bit) of each word. A word that is a token is that token; no other words are looked at here."""
         words, out = list(words), {}
-        left = [w for w in set(words) if w not in self.ranks]
+        cut = {w: self.parts_of(w) for w in set(words) if len(w) > SHORT_BYTES and w not in self.ranks}
+        left = [w for w in {w for w in words if w not in cut}.union(*cut.values()) if w not in self.ranks]
         for query, chosen in ((SHORT, [w for w in left if len(w) <= SHORT_BYTES]), (LONG, [w for w in left if len(w) > SHORT_BYTES])):
             for part in self._parts(chosen):
-                self.db.register("base", self._rows(part))
-                ids = self.db.sql(query).to_arrow_table().column("ids").combine_chunks()
-                ends, flat = ids.offsets.to_numpy() * 4, ids.values.to_numpy().astype("<u4").tobytes()
-                out.update((w, flat[a:b]) for w, a, b in zip(part, ends[:-1], ends[1:], strict=True))
-        return [out[w] if w in out else self.ranks[w].to_bytes(4, "little") if w else b"" for w in words]
+                out.update(zip(part, self._contract(query, part), strict=True))
+        of = lambda w: out[w] if w in out else self.ranks[w].to_bytes(4, "little") if w else b""
+        return [b"".join(map(of, cut[w])) if w in cut else of(w) for w in words]
 
     def decode(self, runs: list[bytes]) -> list[bytes]:
         """The bytes of each run of ids (little-endian 32-bit)."""

@@ -141,7 +141,7 @@ LOW = 0.6  # room below the scores of held-out texts
 class Labeller:
     """The sums of a word's position distributions, each distinct word computed once; emptied at `most` words."""
 
-    def __init__(self, net: BiGru, labels: int, most: int = 400_000, seen: np.ndarray | None = None):
+    def __init__(self, net: BiGru, labels: int, most: int = 200_000, seen: np.ndarray | None = None):
         self.net, self.labels, self.most, self.seen = net, labels, most, seen
         self.known: dict[bytes, int] = {}
         self.width = labels + 1 + 2 * (seen is not None)
