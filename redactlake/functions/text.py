@@ -170,9 +170,13 @@ def tokens_text(texts: Column, separator: str) -> Column:
 
 def locate_tokens(texts: Column, value: Column) -> Column:
     """Places (from 0) of the tokens that the first occurrence of a value, normalised, overlaps; empty if it has none or fewer than 3 characters."""
-    normal = F.transform(texts, normalize)
-    joined, target = tokens_text(normal, ""), normalize(value)
-    at = F.instr(joined["text"], target)
-    begin, end = at - 1, at - 1 + F.length(target)
-    hit = F.filter(F.sequence(F.lit(0), F.size(texts) - 1), lambda i: (joined["spans"][i]["end"] > begin) & (joined["spans"][i]["start"] < end) & (joined["spans"][i]["end"] > joined["spans"][i]["start"]))
-    return F.when((F.length(target) >= 3) & (at > 0) & (F.size(texts) > 0), hit).otherwise(F.array().cast("array<int>"))
+    once = F.struct(tokens_text(F.transform(texts, normalize), "").alias("joined"), normalize(value).alias("target"))
+
+    def places(o: Column) -> Column:
+        """`o` is bound as a value here: written out, the joined text would be made anew for each token."""
+        spans, begin = o["joined"]["spans"], F.instr(o["joined"]["text"], o["target"]) - 1
+        end = begin + F.length(o["target"])
+        hit = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (spans[i]["end"] > begin) & (spans[i]["start"] < end) & (spans[i]["end"] > spans[i]["start"]))
+        return F.when((F.length(o["target"]) >= 3) & (begin >= 0) & (F.size(spans) > 0), hit).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(once), places), 0)

@@ -81,3 +81,9 @@ def match_photos(photos: DataFrame, profiles: DataFrame, threshold: float) -> Da
     out = photos.select("video_id", "photo_id", F.col("embedding").isNull().alias("_none")).join(best, ["video_id", "photo_id"], "left")
     reason = F.when(F.col("_none"), "face_embedding_failed").when(F.col("similarity") >= threshold, "matched").otherwise("below_similarity_threshold")
     return out.select("video_id", "photo_id", "track_id", "similarity", (reason == "matched").alias("accepted"), reason.alias("reason"))
+
+
+def gallery_metrics(members: DataFrame, person: str = "person_id") -> DataFrame:
+    """Of each recording: tracks, persons, and tracks that were merged into a person that had one already."""
+    tracks, persons = F.count(F.lit(1)), F.count_distinct(person)
+    return members.groupBy("video_id").agg(tracks.alias("tracks"), persons.alias("persons"), (tracks - persons).alias("merged_duplicates"))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from redactlake.functions.text import normalize
 
 
+def probe(videos: DataFrame) -> DataFrame:
+    """Recordings (fps, frame_count, width, height) with duration_ms, in whole ms; those without a positive rate or size, or with a null there, go."""
+    duration = F.floor(F.col("frame_count").cast("double") / F.col("fps").cast("double") * 1000).cast("bigint")
+    return videos.where("fps > 0 and width > 0 and height > 0").withColumn("duration_ms", duration)
+
+
 def grid(rows: DataFrame, start: Column, end: Column, step: int, duration: Column) -> DataFrame:
     """time_ms: from start (not below 0) to end (not beyond the duration), both ends included, every `step` ms."""
     first = F.greatest(F.lit(0).cast("bigint"), start)
@@ -62,6 +68,41 @@ def merge_findings(findings: DataFrame, gap: int = 1_200) -> DataFrame:
     return out.withColumn("action", action(F.col("modality"))).withColumn("id", name).drop("_type", "_value", "island")
 
 
+def merged_ids(findings: DataFrame, gap: int = 1_200) -> DataFrame:
+    """video_id, ord, id: the finding of merge_findings that each row has become part of."""
+    keyed = findings.withColumn("_type", F.lower("type")).withColumn("_value", normalize(F.col("value")))
+    keys = ["video_id", "_type", "_value"]
+    rows = islands(keyed, keys, "start_ms", "end_ms", gap, ["ord"])
+    first = F.first(F.struct("type", "value", "start_ms")).over(Window.partitionBy(*keys, "island").orderBy("start_ms", "end_ms", "ord"))
+    name = F.concat(F.lit("finding_"), F.substring(F.sha2(F.concat_ws("|", "video_id", "_f.type", "_f.value", "_f.start_ms"), 256), 1, 8))
+    return rows.withColumn("_f", first).select("video_id", "ord", name.alias("id"))
+
+
+def merge_observations(findings: DataFrame, observations: DataFrame, gap: int = 1_200) -> DataFrame:
+    """Boxes of rows before merging (video_id, ord, time_ms, x, y, width, height, confidence) as boxes of merged findings (video_id, id): each time and box once, with its highest confidence."""
+    return dedup_observations(observations.join(merged_ids(findings, gap), ["video_id", "ord"]), ["video_id", "id"])
+
+
+def redaction_plan(frames: DataFrame, merged: DataFrame, boxes: DataFrame, width: int, height: int, bucket: int = 1_000) -> DataFrame:
+    """What is to be covered on which frame: video_id, time_ms, id, type, x1, y1, x2, y2.
+
+    frames: video_id, time_ms; merged: findings with id; boxes: of merged findings, the surest (then first) of a time counts.
+    Each finding that is seen has a box on every frame of its interval: that of its observations there, or between two of them
+    linearly, padded by its kind and cut at the border. Findings without boxes cover nothing.
+    """
+    seen = merged.where(F.col("modality").isin("visual", "both")).select("video_id", "id", "type", "start_ms", "end_ms")
+    points = interval_join(frames, seen, "video_id", "time_ms", "start_ms", "end_ms", bucket)
+    one = F.max_by(F.struct("x", "y", "width", "height", "confidence"), F.struct("confidence", -F.col("x"), -F.col("y"), -F.col("width"), -F.col("height")))
+    each = boxes.withColumn("_key", F.concat_ws("|", "video_id", "id")).groupBy("_key", "time_ms").agg(one.alias("b")).select("_key", "time_ms", "b.*")
+    placed = interpolate(points.select(F.concat_ws("|", "video_id", "id").alias("_key"), "time_ms"), each, "_key")
+    pad = F.when(F.lower("type") == "face", F.greatest(F.lit(12), F.floor(F.greatest("width", "height") * 0.18).cast("int"))).otherwise(F.lit(10))
+    rows = points.withColumn("_key", F.concat_ws("|", "video_id", "id")).join(placed, ["_key", "time_ms"]).withColumn("_pad", pad)
+    return rows.select(
+        "video_id", "time_ms", "id", "type", F.greatest(F.lit(0), F.col("x") - F.col("_pad")).alias("x1"), F.greatest(F.lit(0), F.col("y") - F.col("_pad")).alias("y1"),
+        F.least(F.lit(width), F.col("x") + F.col("width") + F.col("_pad")).alias("x2"), F.least(F.lit(height), F.col("y") + F.col("height") + F.col("_pad")).alias("y2"),
+    )
+
+
 def dedup_observations(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each time and box, with the highest confidence."""
     return rows.groupBy(*keys, "time_ms", "x", "y", "width", "height").agg(F.max("confidence").alias("confidence"))
@@ -92,7 +133,8 @@ def _around(points: DataFrame, observations: DataFrame, key: str, payload: list[
     both = points.select(key, "time_ms", F.lit(0).alias("_obs"), F.lit(None).cast(observations.select(box.alias("b")).schema["b"].dataType).alias("_box")).unionByName(observations.select(key, "time_ms", F.lit(1).alias("_obs"), box.alias("_box")))
     w = Window.partitionBy(key).orderBy("time_ms", "_obs")
     prev = F.last("_box", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("_box", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(key).orderBy(F.desc("time_ms"), F.desc("_obs"))  # a running frame, as one up to the end would be summed anew for each row
+    nxt = F.last("_box", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("prev", prev).withColumn("next", nxt).where("_obs = 0").drop("_obs", "_box")
 
 

@@ -54,6 +54,15 @@ def consensus(assessments: DataFrame, least: int = 3, sure: float = 0.70, blur_u
     )
 
 
+def metrics(decisions: DataFrame) -> DataFrame:
+    """One row for all decisions: how many of each category, to blur, and with how many assessments, usable ones among them."""
+    of = lambda c: F.count_if(F.col("category") == c)
+    return decisions.agg(
+        F.count(F.lit(1)).alias("tracks"), of("likely_minor").alias("likely_minor"), of("likely_adult").alias("likely_adult"), of("uncertain").alias("uncertain"), F.count_if("blur").alias("blurred"),
+        F.coalesce(F.sum("sample_count"), F.lit(0)).alias("samples"), F.coalesce(F.sum("usable"), F.lit(0)).alias("usable"),
+    )
+
+
 def age_interval(low: Column, high: Column, confidence: Column, quality: Column, boundary: int = 18, adult: int = 22, sure: float = 0.65) -> tuple[Column, Column]:
     """Category and reason by an interval of ages."""
     a, b = F.greatest(F.lit(0), F.least(low, high)), F.least(F.lit(100), F.greatest(low, high))

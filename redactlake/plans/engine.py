@@ -62,7 +62,7 @@ class Engine:
         if self.config.face_mode == "reference" and match:
             detections, prefix = detections.where(F.col(match) >= self.config.reference_similarity), "reference_face"
         tracks = tracking.track(detections, self.config.max_gap_ms)
-        kept = tracks.join(tracking.accepted(tracks, self.config.min_observations, self.config.keep_single_confidence).select("video_id", "track_number"), ["video_id", "track_number"], "left_semi")
+        kept = tracking.only_accepted(tracks, self.config.min_observations, self.config.keep_single_confidence)
         out = tracking.track_findings(kept, self.config.face_interval_ms, prefix)
         return out.withColumns({"ord": F.col("track_number").cast("bigint"), "type": F.lit("face"), "modality": F.lit("visual"), "reason": F.lit("tracked face"), "source": F.lit("face_detector")})
 

@@ -10,8 +10,9 @@ from redactlake.functions import geometry as G
 from redactlake.functions import spans as X
 from redactlake.functions import text as T
 from redactlake.functions.jsonx import parse_findings
-from redactlake.operators import intervals, report, sampling
-from redactlake.plans.common import DET, FND, PROF, query
+from redactlake.operators import clustering, intervals, policy, report, sampling, tokens, tracking
+from redactlake.plans.common import DET, FND, ISL, ORACLE_SQL, PROF, query
+from redactlake.plans import text  # noqa: F401  its SQL is used here
 from redactlake.plans.engine import Engine, globalize, widen
 from redactlake.sources import adapters as A
 from redactlake.sources.connectors import from_data_uri, to_data_uri
@@ -29,7 +30,7 @@ def run_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(Config(identity_threshold=0.20))
     gallery = engine.gallery(A.track_profiles(spark, sf_dir))
     blur = gallery.persons.where("number % 2 = 0").select("video_id", "person_id")
-    return engine.apply_selection(A.findings_in(spark, sf_dir).limit(0), gallery, blur).withColumn("sources", F.concat_ws(",", "sources"))
+    return engine.apply_selection(A.findings_in(spark, sf_dir), gallery, blur).withColumn("sources", F.concat_ws(",", "sources"))
 
 
 @query()
@@ -155,14 +156,77 @@ def server_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(of("type"), F.lit("unknown")).alias("error_type"), of("code").alias("code"), F.coalesce(F.length(of("message")), F.lit(0)).alias("message_length"))
 
 
-@query(f"WITH {DET} SELECT video_id, det_ord, printf('code %d', row_number() OVER (PARTITION BY video_id ORDER BY time_ms, det_ord)) AS label FROM det WHERE det_ord % 9 = 0")
+@query(f"WITH {DET} SELECT video_id, det_ord, printf('code %d', row_number() OVER (PARTITION BY video_id ORDER BY time_ms, det_ord)) AS label FROM det")
 def sequence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("video_id").orderBy("time_ms", "det_ord")
-    return A.detections(spark, sf_dir).where("det_ord % 9 = 0").select("video_id", "det_ord", F.format_string("code %d", F.row_number().over(w)).alias("label"))
+    return A.detections(spark, sf_dir).select("video_id", "det_ord", F.format_string("code %d", F.row_number().over(w)).alias("label"))
 
 
 @query()
 def pattern_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", F.inline(X.spans(F.col("text"))))
+
+
+@query("""SELECT event_id, floor((event_id * 7 % 5000)::DOUBLE / (event_id % 31)::DOUBLE * 1000)::BIGINT AS duration_ms FROM events WHERE event_id % 31 > 0 AND event_id % 11 > 0""")
+def video_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    videos = A.table(spark, sf_dir, "events").select("event_id", (e % 31).alias("fps"), (e * 7 % 5000).alias("frame_count"), (e % 11 * 64).alias("width"), F.lit(480).alias("height"))
+    return intervals.probe(videos).select("event_id", "duration_ms")
+
+
+@query("""WITH w AS (SELECT conv_id AS video_id, turn AS time_ms, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS ord FROM conversations),
+t AS (SELECT *, ord // 12 AS line, (ord * 37) % 1000 AS x, (ord * 13 + length(text) * 7) % 100 AS conf FROM w)
+SELECT video_id, time_ms, line::INTEGER AS line, string_agg(trim(text), ' ' ORDER BY x, ord) AS text, count(*)::INTEGER AS n FROM t WHERE trim(text) <> '' AND conf >= 20 GROUP BY video_id, time_ms, line""")
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = A.text_tokens(spark, sf_dir).select("video_id", "time_ms", F.posexplode("tokens").alias("ord", "text"))
+    o = F.col("ord")
+    read = each.select("video_id", "time_ms", F.lit(1).alias("block"), F.lit(1).alias("par"), F.floor(o / 12).cast("int").alias("line"), "ord", ((o * 37) % 1000).alias("x"), F.lit(5).alias("y"), F.lit(30).alias("width"), F.lit(12).alias("height"), ((o * 13 + F.length("text") * 7) % 100).alias("conf"), "text")
+    return tokens.lines(read).select("video_id", "time_ms", "line", "text", F.size("tokens").alias("n"))
+
+
+@query("""WITH c AS (SELECT conv_id AS video_id, turn * 350 AS time_ms, text FROM conversations), f AS (SELECT conv_id AS video_id, string_split(text, ' ')[1] AS value FROM conversations WHERE turn = 1),
+n AS (SELECT video_id, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS v FROM f)
+SELECT c.video_id, count(*) AS n_frames, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM c JOIN n ON n.video_id = c.video_id AND length(v) >= 3 AND instr(regexp_replace(lower(c.text), '[^a-z0-9]', '', 'g'), v) > 0
+WHERE time_ms BETWEEN 0 AND 1400 GROUP BY c.video_id""")
+def located_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = A.text_tokens(spark, sf_dir).withColumn("time_ms", F.col("time_ms") * 350)
+    first = frames.where("time_ms = 350").select("video_id", F.col("video_id").alias("id"), F.get("tokens", 0).alias("value"), F.lit(700).cast("bigint").alias("start_ms"), F.lit(700).cast("bigint").alias("end_ms"), F.lit(5_000).cast("bigint").alias("duration_ms"))
+    return tokens.localize(first, frames).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_frames"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+
+
+@query(f"""SELECT count(*) AS tracks, count_if(category = 'likely_minor') AS likely_minor, count_if(category = 'likely_adult') AS likely_adult, count_if(category = 'uncertain') AS uncertain, count_if(category = 'likely_minor') AS blurred
+FROM ({ORACLE_SQL["consensus_policy"]})""")
+def child_policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = policy.consensus(A.assessments(spark, sf_dir))
+    return policy.metrics(decided).drop("samples", "usable")
+
+
+@query(f"WITH {PROF} SELECT video_id, count(*) AS tracks, count(DISTINCT track_id % 7) AS persons, count(*) - count(DISTINCT track_id % 7) AS merged_duplicates FROM prof GROUP BY video_id")
+def gallery_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.gallery_metrics(A.track_profiles(spark, sf_dir).withColumn("person_id", F.col("track_id") % 7))
+
+
+@query(f"WITH {DET} SELECT video_id, count(*) AS candidates, count_if(confidence >= 0.8) AS matches, count_if(confidence < 0.8) AS rejections FROM det GROUP BY video_id")
+def reference_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.match_counts(A.detections(spark, sf_dir), "confidence", 0.8)
+
+
+@query(f"""WITH {DET}, {FND[FND.index("fnd AS"):]}, {ISL}, fin AS (SELECT *, 'finding_' || left(sha256(concat_ws('|', video_id, first.type, first.value, first.start_ms)), 8) AS id FROM (
+  SELECT *, arg_min(struct_pack(type := type, value := value, start_ms := start_ms), (start_ms, end_ms, ord)) OVER (PARTITION BY video_id, type, value, island) AS first FROM isl)),
+mrg AS (SELECT video_id, id, min(type) AS type, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(DISTINCT modality) AS kinds, min(modality) AS modality FROM fin GROUP BY video_id, id),
+box AS (SELECT f.video_id, f.id, d.time_ms, arg_max(struct_pack(x := d.x, y := d.y, w := d.width, h := d.height), (d.confidence, -d.x, -d.y, -d.width, -d.height)) AS b FROM fin f JOIN det d ON d.video_id = f.video_id AND d.time_ms BETWEEN f.start_ms AND f.end_ms GROUP BY ALL),
+last AS (SELECT user_id AS video_id, max(t) AS m FROM ev GROUP BY user_id), frm AS (SELECT video_id, unnest(range(0, m + 1, 250)) AS time_ms FROM last),
+pts AS (SELECT f.video_id, f.time_ms, m.id, m.type FROM frm f JOIN mrg m ON m.video_id = f.video_id AND f.time_ms BETWEEN m.start_ms AND m.end_ms AND (m.kinds > 1 OR m.modality <> 'audio')),
+prv AS (SELECT p.*, b.time_ms AS pt, b.b AS pb FROM pts p ASOF LEFT JOIN box b ON b.video_id = p.video_id AND b.id = p.id AND p.time_ms > b.time_ms),
+nxt AS (SELECT p.*, b.time_ms AS nt, b.b AS nb FROM prv p ASOF LEFT JOIN box b ON b.video_id = p.video_id AND b.id = p.id AND p.time_ms <= b.time_ms),
+pos AS (SELECT *, (time_ms - pt)::DOUBLE / greatest(1, nt - pt) AS r FROM nxt WHERE pb IS NOT NULL OR nb IS NOT NULL),
+mid AS (SELECT video_id, time_ms, id, type, CASE WHEN pb IS NULL THEN nb.x WHEN nb IS NULL THEN pb.x ELSE round_even(pb.x + (nb.x - pb.x) * r, 0)::INTEGER END AS x, CASE WHEN pb IS NULL THEN nb.y WHEN nb IS NULL THEN pb.y ELSE round_even(pb.y + (nb.y - pb.y) * r, 0)::INTEGER END AS y,
+  CASE WHEN pb IS NULL THEN nb.w WHEN nb IS NULL THEN pb.w ELSE greatest(1, round_even(pb.w + (nb.w - pb.w) * r, 0)::INTEGER) END AS w, CASE WHEN pb IS NULL THEN nb.h WHEN nb IS NULL THEN pb.h ELSE greatest(1, round_even(pb.h + (nb.h - pb.h) * r, 0)::INTEGER) END AS h FROM pos)
+SELECT video_id, time_ms, id, type, greatest(0, x - 10) AS x1, greatest(0, y - 10) AS y1, least(640, x + w + 10) AS x2, least(480, y + h + 10) AS y2 FROM mid""")
+def redaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.findings_in(spark, sf_dir)
+    seen = intervals.interval_join(A.detections(spark, sf_dir).drop("det_ord"), found.select("video_id", "ord", "start_ms", "end_ms"), "video_id", "time_ms", "start_ms", "end_ms", 1_000)
+    boxes = intervals.merge_observations(found, seen.select("video_id", "ord", "time_ms", "x", "y", "width", "height", "confidence"))
+    return intervals.redaction_plan(A.frames(spark, sf_dir, 250), intervals.merge_findings(found), boxes, 640, 480)

@@ -105,3 +105,51 @@ def test_message_texts(spark):
 
     rows = spark.createDataFrame([("plain",), ('[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]',), ("[]",), (None,)], "c string")
     assert [r[0] for r in rows.select(message_text(F.col("c"))).collect()] == ["plain", "a\nb", None, None]
+
+
+def test_tracks_do_not_depend_on_the_parts(spark):
+    rng = random.Random(8)
+    rows, t = [], 0
+    for k in range(400):
+        t += rng.choice([100, 200, 400, 901, 2000])
+        rows += [(k % 2, t, 2 * k + j, rng.randint(0, 60), rng.randint(0, 60), 40, 40 + rng.randint(0, 9), 0.5 + rng.random() / 2) for j in range(2)]
+    df = spark.createDataFrame(rows, "video_id bigint, time_ms bigint, det_ord bigint, x int, y int, width int, height int, confidence double")
+    want, number = {}, {}
+    for v in (0, 1):  # one pass over a recording, frame by frame
+        state, own = tracking.Tracker(), sorted((r for r in rows if r[0] == v), key=lambda r: (r[1], r[2]))
+        for time in sorted({r[1] for r in own}):
+            frame = [r for r in own if r[1] == time]
+            want.update(((v, r[2]), n) for r, n in zip(frame, state.update(time, [r[3:7] for r in frame]), strict=True))
+    for part in (20_000, 7, 1):
+        got = tracking.track(df, part_rows=part)
+        assert {(r["video_id"], r["det_ord"]): r["track_number"] for r in got.collect()} == want
+    for (v, _), n in want.items():
+        number.setdefault((v, n), []).append(1)
+    kept = tracking.only_accepted(got).select("video_id", "track_number").distinct()
+    assert {tuple(r) for r in kept.collect()} == {(r["video_id"], r["track_number"]) for r in tracking.accepted(got).collect()}
+    assert tracking.track(df.limit(0)).count() == 0
+
+
+def test_probe_and_lines(spark):
+    from redactlake.operators import tokens
+
+    videos = spark.createDataFrame([(1, 24.0, 100, 640, 480), (2, 0.0, 100, 640, 480), (3, 24.0, 100, 0, 480), (4, None, 100, 640, 480), (5, 29.97, 300, 640, -1)], "id int, fps double, frame_count bigint, width int, height int")
+    assert [(r["id"], r["duration_ms"]) for r in I.probe(videos).collect()] == [(1, 4166)]
+    read = [(1, 0, 1, 1, 1, 0, 50, 0, 9, 9, 90.0, "world"), (1, 0, 1, 1, 1, 1, 10, 0, 9, 9, 20.0, " hello "), (1, 0, 1, 1, 1, 2, 5, 0, 9, 9, 19.9, "dim"), (1, 0, 1, 1, 2, 3, 5, 0, 9, 9, 95.0, "  "), (1, 0, 1, 1, 3, 4, 5, 0, 9, 9, None, "unsure")]
+    df = spark.createDataFrame(read, "video_id int, time_ms int, block int, par int, line int, ord int, x int, y int, width int, height int, conf double, text string")
+    got = tokens.lines(df).collect()
+    assert [(r["line"], r["text"], [tuple(s) for s in r["spans"]]) for r in got] == [(1, "hello world", [(0, 5), (6, 11)])]
+    frames = spark.createDataFrame([(1, 350 * k, ["a", "jane", "doe"] if k in (0, 3, 4) else ["other"]) for k in range(8)], "video_id int, time_ms bigint, tokens array<string>")
+    found = spark.createDataFrame([(1, 7, "Jane Doe", 700, 700, 5000), (1, 8, "no", 700, 700, 5000)], "video_id int, id int, value string, start_ms bigint, end_ms bigint, duration_ms bigint")
+    assert sorted((r["id"], r["time_ms"], r["places"]) for r in tokens.localize(found, frames).collect()) == [(7, 0, [1, 2]), (7, 1050, [1, 2]), (7, 1400, [1, 2])]
+
+
+def test_redaction_plan(spark):
+    rows = [(1, 1, "face", "p", "visual", 0, 1000, 0.9, "", "m"), (1, 2, "face", "P", "audio", 1500, 2000, 0.9, "", "m"), (1, 3, "email", "a@b", "visual", 0, 500, 0.9, "", "m")]
+    found = spark.createDataFrame(rows, _F)
+    boxes = spark.createDataFrame([(1, 1, 0, 100, 50, 80, 100, 0.9), (1, 1, 0, 100, 50, 80, 100, 0.95), (1, 2, 1000, 200, 100, 100, 120, 1.0)], "video_id bigint, ord bigint, time_ms bigint, x int, y int, width int, height int, confidence double")
+    merged_boxes = I.merge_observations(found, boxes)
+    assert merged_boxes.count() == 2 and merged_boxes.select("id").distinct().count() == 1
+    frames = spark.createDataFrame([(1, t) for t in (0, 500, 2000, 2500)], "video_id bigint, time_ms bigint")
+    got = sorted(tuple(r)[1:2] + tuple(r)[3:] for r in I.redaction_plan(frames, I.merge_findings(found), merged_boxes, 250, 230).collect())
+    assert got == [(0, "face", 82, 32, 198, 168), (500, "face", 131, 56, 250, 204), (2000, "face", 179, 79, 250, 230)]
