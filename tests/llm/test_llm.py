@@ -97,6 +97,10 @@ def test_bpe(docs, none):
     path = P.path("byte_bpe_50k.tiktoken")
     own = bpe.Bpe(path, P.PATTERN)
     ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    assert own.parts_of(b"a" * 100) == [b"a" * 100] and all(b"".join(own.parts_of(w)) == w for w in (b"qxjqzvk" * 40, "日本".encode() * 50))
+    runs = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 1_000_000, "ab" * 50_000, "".join(RNG.choices(["the", "ing", "er"], k=700))]
+    for t, (ids, back) in zip(runs, own.encode_texts(runs), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode_ordinary(t) and back == t.encode()
     hard = [" a  b\n c \n\n d\t", "it's  we'll 've \r\n x", "\x1c a\x1d b\x85c\xa0d", "a" * 3000, "ab" * 900, "".join(RNG.choices("ab'sé \n\t 9!.　ßтест", k=400)), "<|endoftext|>"]
     for t, (ids, back) in zip(hard, own.encode_texts(hard), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == ref.encode_ordinary(t) and back == t.encode()
@@ -306,6 +310,7 @@ def test_large_ids_beside_null_ones_stay(spark):
     results = [
         bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), binary_output.read_documents(binary_output.write_segments(df, P.path("word_bpe_49k.json"))),
         simhash.near_duplicates(df), suffix_dedup.digests(df), suffix_dedup.remove_repeats(df), language.predict(df, net, labels), sharding.shard(df),
+        lm_score.score(df, *lm_score.fit(df, lm_score.Shape(known=6))),
     ]
     for got in results:
         assert Counter(r["doc_id"] for r in got.collect()) == ids
