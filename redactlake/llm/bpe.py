@@ -67,7 +67,7 @@ DECODE = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM run JO
 class Bpe:
     """The tokenizer of one worker."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 300_000, batch_bytes: int = 256_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000, batch_bytes: int = 256_000):
         import duckdb
         import regex
 
