@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 #: ASCII white space, as bytes.split() has it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -34,16 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage ends there, and lost executors lose nothing. The shuffle files of the write go with its end, as nothing reads them again."""
+def saved(df: DataFrame, name: str, by_size: bool = False) -> DataFrame:
+    """The same rows from a table in the shared folder: lineage ends there, and lost executors lose nothing. The shuffle files of the write go with its end, as nothing reads them again. `by_size`: small shuffle partitions are put together up to Spark's advisory size, so that a small table isn't many tiny files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_SPREAD: "false"} if by_size else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     found = spark.read.schema(df.schema).parquet(path)
     found.saved_at = path
     return found

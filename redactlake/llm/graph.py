@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     a single task. Null ends are no links. An empty table gives an empty result.
     """
     links = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    nodes = saved(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("at")), "nodes")
+    nodes = saved(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("at")), "nodes", by_size=True)
 
     def moved(rows: DataFrame, to: DataFrame, c: str) -> DataFrame:
         return rows.join(to.select(F.col("a").alias(c), F.col("to").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
@@ -35,14 +35,14 @@ def components(links: DataFrame) -> DataFrame:
 
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min_by("b", place("b")).alias("to"))
-        first = saved(first.where(place("to") < place("a")), "first-neighbours")
-        to = saved(moved(first, first, "to"), "goes-to")
+        first = saved(first.where(place("to") < place("a")), "first-neighbours", by_size=True)
+        to = saved(moved(first, first, "to"), "goes-to", by_size=True)
         used = (links, nodes, first, to)
-        nodes = saved(moved(nodes, to, "at"), "nodes")
+        nodes = saved(moved(nodes, to, "at"), "nodes", by_size=True)
         links = moved(moved(links, to, "a"), to, "b").where("a <> b")
-        links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", by_size=True)
         forget(*used)
     least = nodes.groupBy("at").agg(F.min("node").alias("root"))
-    found = saved(nodes.join(least, "at").select("node", "root"), "components")
+    found = saved(nodes.join(least, "at").select("node", "root"), "components", by_size=True)
     forget(links, nodes)
     return found
