@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -361,6 +362,60 @@ def test_licences(spark):
     assert licences.licences(df.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "bsd-3-clause-text": """Copyright (c) 2020, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License.""",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "mit-name": "This project is released under the MIT License and nothing else",
+}
+
+
+def test_wrapped_licences(spark):
+    import re
+
+    data, want = [], []
+    for k, (rule, text) in enumerate(WRAPPED.items()):
+        for width, mark, end in ((72, "", "\n"), (80, " * ", "\n"), (76, "# ", "\r\n")):
+            paragraphs = ([mark + x for x in textwrap.wrap(p, width)] for p in text.split("\n\n"))
+            data.append((len(data), "intro line" + end + end + (end + mark.rstrip() + end).join(end.join(p) for p in paragraphs)))
+            want.append((data[-1][0], rule))
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns(extra())
+    assert sorted((r["doc_id"], r["rule_id"]) for r in licences.licences(df).collect()) == want
+    assert all(re.search(licences._HINT, s) for s in licences.SENTENCES.values())
+    assert {i for _, _, ids in licences.RULES for i in ids} == set(licences.SENTENCES)
+
+
+def test_licences_equal_sql(spark):
+    import duckdb
+
+    data = [(k, t) for k, t in enumerate([*WRAPPED.values(), None, "", "MIT License. mit license", "Released under the MIT License! Licensed under CC BY-SA 4.0\nor CC BY 4.0. Licensed under the Apache License, Version 2.0 (the license)", " ".join(WRAPPED.values()), "\n".join(licences.SENTENCES.values()), "\n\n".join(licences.SENTENCES.values())])]
+    got = rows(licences.licences(spark.createDataFrame(data, "doc_id long, text string")))
+    db = duckdb.connect()
+    documents = pd.DataFrame(data, columns=["doc_id", "text"])  # noqa: F841
+    want = Counter(db.sql(licences.OP9_SQL).fetchall())
+    assert got == want and len(got) > 20
+
+
 def test_lm_score(docs, none):
     shape = lm_score.Shape(known=6, head=4, own=3, buckets=8, pairs=16, groups=2, parts=2, after=3, steps=4)
     model, counts = lm_score.fit(docs, shape)
