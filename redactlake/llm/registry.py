@@ -10,7 +10,7 @@ from redactlake.llm.language import op8_language
 from redactlake.llm.licences import OP9_SQL, op9_licences
 from redactlake.llm.lm_score import op1_lm_score
 from redactlake.llm.nearest import OP7_SQL, op7_nearest
-from redactlake.llm.resample import op13_resample
+from redactlake.llm.resample import OP13_SQL, op13_resample
 from redactlake.llm.sharding import op5_sharding
 from redactlake.llm.simhash import op6_simhash
 from redactlake.llm.suffix_dedup import op4_suffix_dedup
@@ -20,4 +20,4 @@ QUERIES = {
     "op7_nearest": op7_nearest, "op8_language": op8_language, "op9_licences": op9_licences, "op10_binary_output": op10_binary_output,
     "op11_source_divergence": op11_source_divergence, "op13_resample": op13_resample,
 }
-ORACLE_SQL: dict[str, str] = {"op7_nearest": OP7_SQL, "op9_licences": OP9_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_nearest": OP7_SQL, "op9_licences": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_resample": OP13_SQL}

@@ -157,3 +157,21 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = 10_000, longest:
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` drawn towards all `benchmark` texts: see resample()."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+# CRC-32 by its definition: a table of 256 remainders of the polynomial 0xEDB88320, one step a byte.
+OP13_SQL = f"""WITH RECURSIVE r AS (SELECT i::BIGINT AS byte, i::BIGINT AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM r WHERE k < 8),
+tab AS (SELECT list(v ORDER BY byte) AS l FROM r WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS_SQL} AS w FROM documents),
+f AS MATERIALIZED (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM d) GROUP BY ALL),
+g AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS_SQL}) AS word FROM benchmark) GROUP BY ALL),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, l[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM f UNION SELECT word FROM g), tab),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM f JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, sum(n)::BIGINT AS n FROM g JOIN b USING (word) GROUP BY bucket),
+gain AS MATERIALIZED (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::BIGINT + 10000) / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::BIGINT + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT row, sum(n * gain)::BIGINT AS weight FROM f JOIN b USING (word) JOIN gain USING (bucket) GROUP BY row),
+o AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (row)),
+x AS MATERIALIZED (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
+k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN place END AS rank FROM k"""
