@@ -1,6 +1,7 @@
 """The divergence audit, HTML extraction and importance resampling against plain versions on small tables with nulls, ties, repeated rows and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from redactlake.llm import divergence, resample
+from redactlake.llm import divergence, html_tree, resample
 
 RNG = random.Random(5)
 WORDS = ["the", "of", "Alpha", "BETA", "gamma", "é", "naïve", "x1y", "42", "İ", "日本"]
@@ -106,3 +107,72 @@ def test_suffix_array_runs():
                 assert len(grams) == 1
                 got[grams.pop()] += b - a
         assert got == Counter(tuple(words[i : i + n]) for a, b in zip(ends, ends[1:], strict=False) for n in range(1, longest + 1) for i in range(a, b - n + 1))
+
+
+def plain_marginals(page, model):
+    """By all labellings of a small tree."""
+    n = len(page.parent)
+    total, content = 0.0, [0.0] * n
+    for ls in itertools.product((0, 1), repeat=n):
+        score = 0.0
+        for i, (p, tag) in enumerate(zip(page.parent, page.tag, strict=True)):
+            score += ls[i] * sum(model.weights[model.features[f]] for f in html_tree.evidence(page, i) if f in model.features)
+            score += model.edges[model.kinds.get(tag, 0), ls[p], ls[i]] if p >= 0 else 0.0
+        weight = math.exp(score)
+        total += weight
+        content = [c + weight * v for c, v in zip(content, ls, strict=True)]
+    return [c / total for c in content]
+
+
+def test_tree_marginals_and_gradient():
+    pages = [html_tree.parse(h, "y") for h in ("<nav><ul><li><a href=x>one</a><li>two</ul></nav><article y=1><p>Some. Text.<p y=0 class=ad>buy</article>", "<main y=1>text<form y=0>x<p>y</form></main><footer>c")]
+    labels = [html_tree.labels_of(p) for p in pages]
+    model = html_tree.train(pages, labels, steps=5)
+    rng = html_tree.np.random.default_rng(3)
+    model.weights, model.edges = rng.normal(size=model.weights.shape), rng.normal(size=model.edges.shape)
+    for page, found in zip(pages, model.marginals(pages), strict=True):
+        assert found == pytest.approx(plain_marginals(page, model))
+    trees, y = html_tree.forest(pages, model.features, model.kinds), html_tree.np.array(sum(labels, []))
+    _, d_weights, d_edges = html_tree.gradient(trees, y, model.weights, model.edges)
+    for held, d in ((model.weights, d_weights), (model.edges, d_edges)):
+        for at in itertools.islice(html_tree.np.ndindex(held.shape), 25):
+            was, logs = held[at], []
+            for step in (1e-5, -1e-5):
+                held[at] = was + step
+                logs.append(html_tree.gradient(trees, y, model.weights, model.edges)[0])
+            held[at] = was
+            assert (logs[0] - logs[1]) / 2e-5 == pytest.approx(d[at], abs=1e-5)
+
+
+@pytest.mark.parametrize("html,blocks", [
+    ("<p>a<b>b\n\tc</p>d&amp;&eacute;&#8364;<br>e", ["ab c", "d&é€ e"]), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["a", "b", "c", "d"]), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a b", "c"]),
+    ("<head><title>t</title><script>var a='<p>';</script><style>x</style><body>a<!-- <p>no --><noscript>n</noscript><select><option>o</select>b", ["ab"]), ("x</p></div></a>y<p", ["x", "y"]), ("", []), (None, []), ("&am", ["&am"]),
+    ("<p>a<div>b</p>c</div>", ["a", "b", "c"]), ("<div>" * 3000 + "deep", ["deep"]),
+])
+def test_blocks(html, blocks):
+    assert [t for t in html_tree.parse(html).text if t is not None] == blocks
+
+
+def test_html(spark):
+    words = " ".join(WORDS * 8)
+    body = lambda k: f"<h1>Title {k}</h1><p>First &amp; <i>best</i> {words}.</p><p>Second  one,\n{words}.</p>"
+    noise = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><div class=ad>Buy now.</div>"
+    made = [(k, f"u{k}", f"<html><head><title>t</title></head><body>{noise}<article>{body(k)}</article><footer>&copy; us</footer>") for k in range(40)]
+    other = f"<body><div id=header><ul class=menu><li><a href=/>x</a></li></ul></div><div class='cookie-notice'><p>We use cookies. {words}.</p></div><div class=entry-content>{body(77)}<div class=newsletter><form><p>Sign up.</p></form></div></div><div id=comments><div class=comment><p>Nice. {words}.</p></div></div><div class=sidebar><h3>More</h3><ul><li><a href=/>y</a></li></ul></div><div class=footer>legal</div>"
+    rest = [(None, None, None), (100, "e", ""), (100, "e", ""), (101, "o", other), (102, "s", "<script>x"), (103, "long", f"<article><p>{words * 3000}</p></article>")]
+    df = spark.createDataFrame(made + rest, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars", "_h")})
+    clean = " ".join(words.split())
+    text = lambda k: f"Title {k}\nFirst & best {clean}.\nSecond one, {clean}."
+    want = [(k, f"u{k}", text(k)) for k in range(40)] + [(None, None, ""), (100, "e", ""), (100, "e", ""), (101, "o", text(77)), (102, "s", ""), (103, "long", " ".join((words * 3000).split()))]
+    got = html_tree.extract(df, html_tree.fit(df, dressed=300), slice_bytes=3000)
+    assert rows(got) == Counter((*w, len(w[2])) for w in want)
+    assert html_tree.extract(df.limit(0), html_tree.fit(df.limit(0), dressed=20)).count() == 0
+
+
+def test_html_on_layouts_never_seen():
+    texts = ["some words about this and that", "of the other kind of text that pages have, with marks"]
+    made = [html_tree._Dresser(texts, 1), html_tree._Dresser(texts, 2)]
+    pages = [[html_tree.parse(d.page(), html_tree._LABEL) for _ in range(n)] for d, n in zip(made, (300, 100), strict=True)]
+    model = html_tree.train(pages[0], [html_tree.labels_of(p) for p in pages[0]])
+    right = [(m >= 0.5) == bool(y) for p, ms in zip(pages[1], model.marginals(pages[1]), strict=True) for t, m, y in zip(p.text, ms, html_tree.labels_of(p), strict=True) if t is not None]
+    assert sum(right) / len(right) >= 0.98
