@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactlake.functions.geometry import padding
 from redactlake.functions.text import normalize
 
 
@@ -55,7 +56,7 @@ def merge_findings(findings: DataFrame, gap: int = 1_200) -> DataFrame:
     One shuffle by the key; the first row of an island (by start, end, ord) gives type, value and order. Null modality or
     reason counts as empty.
     """
-    keyed = findings.withColumn("_type", F.lower("type")).withColumn("_value", normalize(F.col("value")))
+    keyed = findings.withColumn("_type", F.lower("type")).withColumn("_value", normalize(F.col("value"))).withColumn("modality", F.coalesce("modality", F.lit("")))
     keys = ["video_id", "_type", "_value"]
     first = F.struct("start_ms", "end_ms", "ord")
     rows = islands(keyed, keys, "start_ms", "end_ms", gap, ["ord"])
@@ -95,7 +96,7 @@ def redaction_plan(frames: DataFrame, merged: DataFrame, boxes: DataFrame, width
     one = F.max_by(F.struct("x", "y", "width", "height", "confidence"), F.struct("confidence", -F.col("x"), -F.col("y"), -F.col("width"), -F.col("height")))
     each = boxes.withColumn("_key", F.concat_ws("|", "video_id", "id")).groupBy("_key", "time_ms").agg(one.alias("b")).select("_key", "time_ms", "b.*")
     placed = interpolate(points.select(F.concat_ws("|", "video_id", "id").alias("_key"), "time_ms"), each, "_key")
-    pad = F.when(F.lower("type") == "face", F.greatest(F.lit(12), F.floor(F.greatest("width", "height") * 0.18).cast("int"))).otherwise(F.lit(10))
+    pad = padding(F.col("type"), F.col("width"), F.col("height"))
     rows = points.withColumn("_key", F.concat_ws("|", "video_id", "id")).join(placed, ["_key", "time_ms"]).withColumn("_pad", pad)
     return rows.select(
         "video_id", "time_ms", "id", "type", F.greatest(F.lit(0), F.col("x") - F.col("_pad")).alias("x1"), F.greatest(F.lit(0), F.col("y") - F.col("_pad")).alias("y1"),

@@ -19,7 +19,9 @@ from redactlake.functions.text import fingerprint, mask
 from redactlake.schemas import EVENT
 
 # Keys whose contents never enter a log.
-SENSITIVE = {"raw_text", "prompt", "content", "text", "transcript", "ocr_text", "image", "audio", "data", "embedding", "api_key", "authorization"}
+SENSITIVE = {
+    "api_key", "audio", "audio_url", "authorization", "content", "data", "embedding", "image", "messages", "ocr_text", "password", "payload", "prompt", "raw_response", "raw_text", "secret", "text", "token", "transcript", "video_url",
+}
 _LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40}
 
 
@@ -61,19 +63,23 @@ class Recorder:
         return {"kind": kind or "unknown", "length": len(value), "fingerprint": hmac.new(self.key, value.encode(), hashlib.sha256).hexdigest()[:12]}
 
     def clean(self, key: str, value: Any) -> Any:
-        if key == "value":
+        if key.lower() == "value":
             return value if isinstance(value, dict) and set(value) == {"kind", "length", "fingerprint"} else self.ref(str(value))
         if key.lower() in SENSITIVE:
-            return {"redacted": True, "bytes" if isinstance(value, bytes) else "characters": len(value) if isinstance(value, (str, bytes)) else len(str(value))}
+            size = {"bytes": len(value)} if isinstance(value, (bytes, bytearray)) else {"characters": len(value)} if isinstance(value, str) else {}
+            return {"redacted": True, **size}
         if isinstance(value, PurePath):
             return value.name
         if isinstance(value, dict):
             return {str(k): self.clean(str(k), v) for k, v in value.items()}
         if isinstance(value, (list, tuple, set)):
             return [self.clean("", v) for v in value]
-        if isinstance(value, str) and len(value) > 500:
-            return f"{value[:500]}…<{len(value) - 500} chars omitted>"
-        return value if value is None or isinstance(value, (str, int, float, bool)) else str(value)
+        if isinstance(value, BaseException):
+            return {"type": type(value).__name__, "message": self.clean("", str(value))}
+        if value is None or isinstance(value, (int, float, bool)):
+            return value
+        text = value if isinstance(value, str) else str(value)
+        return text if len(text) <= 500 else f"{text[:500]}…<{len(text) - 500} chars omitted>"
 
     def emit(self, event: str, level: str = "INFO", **fields: Any) -> None:
         if _LEVELS.get(level, 20) >= self.least:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactlake.functions import geometry as G
 from redactlake.operators import intervals as I
-from redactlake.operators import sampling, tracking
+from redactlake.operators import sampling, scenes, tracking
 from redactlake.plans.common import DET, EV, FND, ISL, query
 from redactlake.sources import adapters as A
 
@@ -207,3 +207,14 @@ def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("findings"), F.count_if(F.col("modality").isin("visual", "both")).alias("visual"), F.count_if(F.col("modality").isin("audio", "both")).alias("audio"), F.countDistinct("type").alias("types"), F.max("end_ms").alias("last_ms"),
         F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / F.greatest(F.lit(1), F.max("end_ms")), 9).alias("coverage"),
     )
+
+
+@query("""WITH RECURSIVE ev AS (SELECT user_id % 40 AS video_id, date_sub('minute', (SELECT min(ts) FROM events), ts) AS time_ms, event_id FROM events),
+cand AS MATERIALIZED (SELECT DISTINCT video_id, time_ms FROM ev WHERE event_id * 37 % 100 >= 38),
+cut AS (SELECT video_id, min(time_ms) AS time_ms FROM cand GROUP BY video_id
+  UNION ALL SELECT k.video_id, min(k.time_ms) FROM cut c JOIN cand k ON k.video_id = c.video_id AND k.time_ms >= c.time_ms + 800 GROUP BY k.video_id)
+SELECT video_id, time_ms FROM cut""")
+def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of recordings in which an event is a sampled frame and its number gives the change."""
+    rows = A.detections(spark, sf_dir).select((F.col("video_id") % 40).alias("video_id"), "time_ms", (F.col("det_ord") * 37 % 100).cast("double").alias("change"))
+    return scenes.scene_cuts(rows)

@@ -79,3 +79,25 @@ def test_connectors(spark, tmp_path):
     assert Engine().analyze(connectors.connect(spark, "clip_analyzer", "mock", videos=videos)).count() == 6
     with pytest.raises(ValueError):
         connectors.connect(spark, "detector", "none")
+
+
+def test_no_key_leaks(spark):
+    hidden = "hunter2-planted"
+    rec = report.Recorder("run")
+    for key in sorted(report.SENSITIVE):
+        for k in (key, key.upper()):
+            rec.emit("e", **{k: hidden, "nested": {k: [hidden], "deep": [{k: hidden}]}, "more": {k: {"a": hidden}}})
+    rec.emit("e", Value=hidden, error=ValueError("x" * 600), password=hidden.encode())
+    assert {"audio_url", "messages", "password", "payload", "raw_response", "secret", "token", "video_url", "api_key", "authorization", "prompt", "raw_text"} <= report.SENSITIVE
+    logged = str(rec.frame(spark).collect())
+    assert hidden not in logged
+    last = json.loads(rec.events[-1]["fields"]["error"])
+    assert last["type"] == "ValueError" and len(last["message"]) < 540 and json.loads(rec.events[-1]["fields"]["password"]) == {"redacted": True, "bytes": len(hidden)}
+
+
+def test_switches():
+    given = config.overlay(config.Config(), {"include_values": "false", "blur_uncertain": " Yes", "merge_gap_ms": 5, "identity_threshold": "0.5", "face_mode": "Blur-All"})
+    assert (given.include_values, given.blur_uncertain, given.merge_gap_ms, given.identity_threshold, given.face_mode) == (False, True, 5, 0.5, "all")
+    for bad in ({"include_values": "maybe"}, {"include_values": 1}, {"merge_gap_ms": True}, {"merge_gap_ms": None}, {"face_mode": 3}, {"face_mode": "some"}):
+        with pytest.raises(ValueError):
+            config.overlay(config.Config(), bad)

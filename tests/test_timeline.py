@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from redactlake.operators import intervals as I
-from redactlake.operators import sampling, tracking
+from redactlake.operators import sampling, scenes, tracking
 from redactlake.streaming import streams
 
 _F = "video_id bigint, ord bigint, type string, value string, modality string, start_ms bigint, end_ms bigint, confidence double, reason string, source string"
@@ -153,3 +153,35 @@ def test_redaction_plan(spark):
     frames = spark.createDataFrame([(1, t) for t in (0, 500, 2000, 2500)], "video_id bigint, time_ms bigint")
     got = sorted(tuple(r)[1:2] + tuple(r)[3:] for r in I.redaction_plan(frames, I.merge_findings(found), merged_boxes, 250, 230).collect())
     assert got == [(0, "face", 82, 32, 198, 168), (500, "face", 131, 56, 250, 204), (2000, "face", 179, 79, 250, 230)]
+
+
+def cuts_plainly(rows):
+    out, last = [], {}
+    for video, time, change in sorted(set(r for r in rows if r[1] is not None and r[2] is not None), key=lambda r: (str(r[0]), r[1])):
+        if change >= 38 and (video not in last or time - last[video] >= 800):
+            out.append((video, time))
+            last[video] = time
+    return sorted(out, key=str)
+
+
+def test_scene_cuts(spark):
+    rng = random.Random(4)
+    rows = [(v, rng.randrange(60_000) // 50 * 50, rng.choice([10.0, 37.99, 38.0, 90.0, None])) for v in (1, 2, None) for _ in range(400)] + [(3, t, 50.0) for t in range(0, 100_000, 200)] + [(4, 0, 99.0), (4, 799, 99.0), (4, 800, 99.0), (4, None, 99.0), (5, 7, 1.0)]
+    df = spark.createDataFrame(rows + rows[:9], "video_id long, time_ms long, change double").withColumn("jump", F.lit(1))
+    assert sorted(((r["video_id"], r["time_ms"]) for r in scenes.scene_cuts(df).collect()), key=str) == cuts_plainly(rows)
+    assert scenes.scene_cuts(df.limit(0)).count() == 0
+
+
+def test_tracks_end_at_scene_cuts(spark):
+    still = [(1, t, n, 10, 10, 50, 50, 0.9) for n, t in enumerate(range(0, 4000, 200))]
+    boxes = spark.createDataFrame(still, "video_id long, time_ms long, det_ord long, x int, y int, width int, height int, confidence double")
+    assert {r["track_number"] for r in tracking.track(boxes).collect()} == {1}
+    cuts = scenes.scene_cuts(spark.createDataFrame([(1, 900, 60.0), (1, 1500, 60.0), (1, 2400, 40.0)], "video_id long, time_ms long, change double"))
+    found = tracking.track(scenes.with_cuts(boxes, cuts), cuts="is_cut").collect()
+    assert {r["time_ms"]: r["track_number"] for r in found} == {t: 1 + (t >= 900) + (t >= 2400) for t in range(0, 4000, 200)}
+
+
+def test_merge_of_unknown_modalities(spark):
+    rows = [(1, k, "email", "a", None, k * 10, k * 10 + 5, 0.5, None, "s") for k in range(2)]
+    found = I.merge_findings(spark.createDataFrame(rows, "video_id long, ord long, type string, value string, modality string, start_ms long, end_ms long, confidence double, reason string, source string")).collect()
+    assert [(r["modality"], r["action"], r["n"]) for r in found] == [("", "blur", 2)]
