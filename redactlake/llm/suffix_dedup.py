@@ -236,7 +236,8 @@ def repeated_windows(rows: DataFrame, length: int = 400, block_bytes: int = 1_00
         again = each.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
         found = found.unionAll(each.where("alone").join(again, "window").select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
     settled = occurrences.join(contexts.where("n > 1").select(*context), context).select(*_PLACE)
-    spans = saved(settled.unionAll(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
+    # Repeated rows share a key and have the same spans: a set holds each once, from the map side on.
+    spans = saved(settled.unionAll(found).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "repeats")
     forget(occurrences, contexts, pieces)
     return spans
 

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from redactlake.llm import divergence, html_tree, resample
+from redactlake.llm import divergence, html_tree, resample, suffix_dedup
 
 RNG = random.Random(5)
 WORDS = ["the", "of", "Alpha", "BETA", "gamma", "é", "naïve", "x1y", "42", "İ", "日本"]
@@ -176,3 +176,13 @@ def test_html_on_layouts_never_seen():
     model = html_tree.train(pages[0], [html_tree.labels_of(p) for p in pages[0]])
     right = [(m >= 0.5) == bool(y) for p, ms in zip(pages[1], model.marginals(pages[1]), strict=True) for t, m, y in zip(p.text, ms, html_tree.labels_of(p), strict=True) if t is not None]
     assert sum(right) / len(right) >= 0.98
+
+
+def test_suffix_dedup_of_a_hot_row(spark):
+    """Thousands of equal rows: spans of their common key are held once, not once for each row."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(163))[:1140]
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionAll(spark.createDataFrame([(8, text[:300] + "x" * 150), (9, "alone")], "doc_id long, text string"))
+    got = rows(suffix_dedup.digests(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", "n_passages"))
+    assert got[7, 1140, 1140, 1, 1140, 1] == 3000 and got[9, 5, 0, 0, 0, 0] == 1
+    assert sum(n for r, n in got.items() if r[0] == 8) == 1 and all(r[2] == 0 and r[4] == 300 for r in got if r[0] == 8)
