@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import row_keys, saved, table, text_or_empty
+from redactlake.llm.common import forget, row_keys, saved, table, text_or_empty
 
 #: Offsets of the words that count; every mask has six.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 8, 9))
@@ -47,22 +47,21 @@ def _hash_at(h: Column, i: Column, tag: int, mask: tuple[int, ...]) -> Column:
     return F.xxhash64(F.lit(tag), *(F.get(h, i + o) for o in mask))
 
 
-def _windows(h: Column, masks: list[tuple[int, tuple[int, ...], int]] | None = None) -> Column:
-    """For every mask (MASKS, or of (tag, offsets, span)) an array of the seed hashes of every start."""
-    parts = []
-    for tag, mask, span in masks or [(m, mask, 1 + max(mask)) for m, mask in enumerate(MASKS)]:
-        starts = F.sequence(F.lit(0), F.size(h) - span)
+def _seeds_of(h: Column, tag: int, mask: tuple[int, ...], span: int) -> Column:
+    """The seed hashes of every start."""
+    starts = F.sequence(F.lit(0), F.size(h) - span)
+    return F.when(F.size(h) >= span, F.transform(starts, lambda i: _hash_at(h, i, tag, mask))).otherwise(F.array().cast("array<bigint>"))
 
-        def at(i: Column, tag: int = tag, mask: tuple[int, ...] = mask) -> Column:
-            return _hash_at(h, i, tag, mask)
 
-        parts.append(F.when(F.size(h) >= span, F.transform(starts, _one(at))).otherwise(F.array().cast("array<bigint>")))
-    return F.array(*parts)
-
-
-def _one(f):
-    """Higher-order functions count a lambda's parameters: this has just one."""
-    return lambda i: f(i)
+def _windows(rows: DataFrame, keep: list[str], h: str, masks: list[tuple[int, tuple[int, ...], int]], first: int, at: str) -> DataFrame:
+    """keep, at, seed, before: for every mask (tag, offsets, span) the seed of every start in the words `h`, beside the seed one word earlier (`first` at the first). One mask of a row is worked on at a time."""
+    made = rows.select(*keep, h, F.explode(F.array(*(F.lit(k) for k in range(len(masks) + 1)))).alias("__m"))
+    hashes = F.when(F.col("__m") == len(masks), F.when(F.size(h) < _LEAST, F.array(_short_window(F.col(h)))))
+    for k, (tag, mask, span) in enumerate(masks):
+        hashes = hashes.when(F.col("__m") == k, _seeds_of(F.col(h), tag, mask, span))
+    made = made.select(*keep, hashes.alias("__s"))
+    made = made.select(*keep, F.posexplode(F.arrays_zip(F.col("__s").alias("seed"), F.concat(F.array(F.lit(first).cast("long")), F.col("__s")).alias("before"))).alias(at, "__w"))
+    return made.select(*keep, at, "__w.seed", "__w.before").where(F.col("seed").isNotNull())
 
 
 def _short_window(h: Column) -> Column:
@@ -70,42 +69,60 @@ def _short_window(h: Column) -> Column:
     return F.xxhash64(F.lit(-1), h)
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
+def _broadcast_up_to(df: DataFrame, fits: bool) -> DataFrame:
+    return F.broadcast(df) if fits else df
+
+
+def _places(docs: DataFrame, items: DataFrame, window: int, share: float, most_broadcast: int) -> DataFrame:
+    """_DOC, _ITEM, n_item, doc_start: where a seed lays an item along a document, each place once.
+
+    A hit whose seeds one word earlier agree too lies on the same place as that one, so only the first hit of such a run is
+    made: a phrase repeated m times in a text and n times in an item gives m + n rows, not m * n. Rows have a fixed width, no words.
+    """
+    lengths = [r["n_item"] for r in items.select("n_item").where(F.col("n_item").between(_LEAST, window)).distinct().collect()]  # at most `window` values
+    general = [(m, mask, 1 + max(mask)) for m, mask in enumerate(MASKS)]
+    own = {n: own_masks(n, share) for n in lengths}
+    item = [*_ITEM, "n_item"]
+    seeds = _windows(items, item, "ih", general, 0, "item_at")
+    for n, masks in own.items():
+        whole = F.array(*(_hash_at(F.col("ih"), F.lit(0), tag, mask) for tag, mask, _ in masks))
+        seeds = seeds.unionByName(items.where(F.col("n_item") == n).select(*item, F.lit(0).alias("item_at"), F.explode(whole).alias("seed"), F.lit(0).cast("long").alias("before")))
+    seeds = saved(seeds, "decontaminate-seeds", by_size=True)
+    fits = seeds.count() <= most_broadcast
+    words = docs.select(*_named(row_keys("doc_id", "text"), _DOC), word_hashes(text_or_empty("text")).alias("h")).where(F.size("h") > 0)
+    windows = _windows(words, list(_DOC), "h", general + [m for masks in own.values() for m in masks], 1, "doc_at")
+    heads = seeds.select("seed", F.col("before").alias("item_before")).distinct()
+    met = windows.join(_broadcast_up_to(heads, fits), "seed").where(F.col("before") != F.col("item_before"))
+    laid = met.join(_broadcast_up_to(seeds.withColumnRenamed("before", "item_before"), fits), ["seed", "item_before"])
+    found = saved(laid.select(*_DOC, *item, (F.col("doc_at") - F.col("item_at")).alias("doc_start")).distinct(), "decontaminate-places", by_size=True)
+    forget(seeds)
+    return found
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8, most_broadcast: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
     """The rows of `matches`, with the keys of their document (_DOC) and of their item (_ITEM): ids may be null or repeated."""
-    items = benchmark.select(F.col("item_id"), *_named(row_keys("item_id", "text"), _ITEM), word_hashes(text_or_empty("text")).alias("ih")).where(F.size("ih") > 0).dropDuplicates(list(_ITEM))
-    item, doc = ["item_id", *_ITEM, "ih"], ["doc_id", *_DOC]
-    seeds = items.select(*item, F.explode(_windows(F.col("ih"))).alias("hashes")).select(*item, F.posexplode("hashes").alias("item_at", "seed"))
-    words = docs.select(F.col("doc_id"), *_named(row_keys("doc_id", "text"), _DOC), word_hashes(text_or_empty("text")).alias("h")).where(F.size("h") > 0)
-    windows = words.select(*doc, "h", F.explode(_windows(F.col("h"))).alias("hashes")).select(*doc, "h", F.posexplode("hashes").alias("doc_at", "seed"))
-    small = words.where(F.size("h") < _LEAST).select(*doc, "h", F.lit(0).alias("doc_at"), _short_window(F.col("h")).alias("seed"))
-    seeds = seeds.unionByName(items.where(F.size("ih") < _LEAST).select(*item, F.lit(0).alias("item_at"), _short_window(F.col("ih")).alias("seed")))
-    sides = [windows, small]
-    lengths = [r["n"] for r in items.select(F.size("ih").alias("n")).where(F.col("n").between(_LEAST, window)).distinct().collect()]  # at most `window` values
-    if lengths:
-        h = F.col("ih")
-        own = F.array(*(F.when(F.size(h) == n, F.array(*(_hash_at(h, F.lit(0), tag, mask) for tag, mask, _ in own_masks(n, share)))).otherwise(F.array().cast("array<bigint>")) for n in lengths))
-        seeds = seeds.unionByName(items.where(F.size("ih").isin(lengths)).select(*item, F.lit(0).alias("item_at"), F.explode(F.flatten(own)).alias("seed")))
-        short = _windows(F.col("h"), [m for n in lengths for m in own_masks(n, share)])
-        sides.append(words.select(*doc, "h", F.explode(short).alias("hashes")).select(*doc, "h", F.posexplode("hashes").alias("doc_at", "seed")))
-    n = seeds.limit(most_broadcast + 1).count()
-    keyed = F.broadcast(seeds) if n <= most_broadcast else seeds
-    at = (F.col("doc_at") - F.col("item_at")).alias("doc_start")
-    if n <= most_broadcast:
-        found = [w.join(keyed, "seed").select(*doc, *item, "h", at) for w in sides]
-    else:  # the words of a document don't travel with each of its windows
-        own = words.select(*_DOC, "h").dropDuplicates(list(_DOC))
-        found = [w.drop("h").join(keyed, "seed").select(*doc, *item, at).dropDuplicates([*_DOC, *_ITEM, "doc_start"]).join(own, list(_DOC)) for w in sides]
-    laid = reduce(DataFrame.unionByName, found)
+    items = benchmark.select(F.col("item_id"), *_named(row_keys("item_id", "text"), _ITEM), word_hashes(text_or_empty("text")).alias("ih")).where(F.size("ih") > 0).dropDuplicates(list(_ITEM)).withColumn("n_item", F.size("ih"))
+    places = _places(docs, items, window, share, most_broadcast)
+    # The words come back for the documents with a place only, each once.
+    met = places.select(*_DOC).distinct()
+    met = _broadcast_up_to(met, met.limit(most_broadcast + 1).count() <= most_broadcast)
+    texts = docs.select("doc_id", "text", *_named(row_keys("doc_id", "text"), _DOC)).join(met, list(_DOC), "left_semi").dropDuplicates(list(_DOC))
+    words = texts.select("doc_id", *_DOC, word_hashes(text_or_empty("text")).alias("h"))
     first = F.greatest(F.lit(0), -F.col("doc_start"))  # of the item's words, the first that lies in the text
-    length = F.least(F.size("ih"), F.size("h") - F.col("doc_start")) - first
-    equal = F.zip_with(F.slice("ih", first + 1, length), F.slice("h", F.col("doc_start") + first + 1, length), lambda a, b: (a == b).cast("int"))
-    place = [*doc, "item_id", *_ITEM, "doc_start"]
-    laid = laid.select(*place, equal.alias("equal")).dropDuplicates([*_DOC, *_ITEM, "doc_start"])  # the keys hold the texts, so all rows of a place are the same
-    width = F.least(F.lit(window), F.size("equal"))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda i: total(F.slice(F.col("equal"), i, width))))
-    laid = laid.select(*place, F.size("equal").alias("n_overlap"), total(F.col("equal")).alias("n_equal"), best.alias("best"), width.alias("width"))
-    return laid.where(F.col("best") >= F.ceil(F.col("width") * share)).drop("best", "width")
+    length = F.least(F.col("n_item"), F.size("h") - F.col("doc_start")) - first
+    parts = places.join(words, list(_DOC)).select("doc_id", *_DOC, *_ITEM, "doc_start", first.alias("first"), F.slice("h", F.col("doc_start") + first + 1, length).alias("part"))
+    held = items.agg(F.sum(64 + 8 * F.col("n_item").cast("long"))).first()[0] or 0
+    laid = parts.join(_broadcast_up_to(items.select("item_id", *_ITEM, "ih"), held <= most_bytes), list(_ITEM))
+    place = ["doc_id", *_DOC, "item_id", *_ITEM, "doc_start"]
+    differ = F.filter(F.sequence(F.lit(0), F.size("part") - 1), lambda i: F.get("ih", F.col("first") + i) != F.get("part", i))
+    laid = laid.select(*place, F.size("part").alias("n_overlap"), differ.alias("differ"))
+    # `width` words with at most `most` changes are there if, and only if, some `most` + 1 changes in a row leave them between the two beside.
+    width = F.least(F.lit(window), F.col("n_overlap"))
+    most = width - F.ceil(width * share).cast("int")
+    ends = F.concat(F.array(F.lit(-1)), F.col("differ"), F.array(F.col("n_overlap")))
+    laid = laid.select(*place, "n_overlap", (F.col("n_overlap") - F.size("differ")).alias("n_equal"), width.alias("width"), most.alias("most"), ends.alias("ends"))
+    gap = F.exists(F.sequence(F.lit(0), F.size("ends") - F.col("most") - 2), lambda j: F.get("ends", j + F.col("most") + 1) - F.get("ends", j) > F.col("width"))
+    return laid.where(F.when(F.col("n_overlap") - F.col("n_equal") <= F.col("most"), True).otherwise(gap)).select(*place, "n_overlap", "n_equal")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -117,8 +134,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 12, share: floa
     MASKS somewhere (every exact part of seven words or more, and of the 66 ways to change two of 12 words all but one).
     Items of one or two words are found where a document is just them. Null ids stay as they are; null and empty texts
     match nothing; documents and items with a repeated or null id but another text are rows of their own (the same row
-    twice if the input has it twice is returned once). Broadcast only if the benchmark has `most_broadcast` windows at
-    most; else both sides are shuffled by the seed hash.
+    twice if the input has it twice is returned once). A phrase that a text and an item repeat gives a row for each place
+    where it fits. Seeds (rows of fixed width) are broadcast only if there are `most_broadcast` at most, else both sides are
+    shuffled by the seed hash; the items' words only if they have 64 MB at most. Other columns are not read.
     """
     return _hits(docs, benchmark, window, share, most_broadcast).select("doc_id", "item_id", "doc_start", "n_overlap", "n_equal")
 
@@ -137,4 +155,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, doc_start, n_overlap, n_equal: every item of `benchmark` that a row of `documents` holds some of, at its best place. Null and empty texts hold none; equal rows count once; empty tables give no rows."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

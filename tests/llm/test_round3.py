@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from redactlake.llm import divergence, html_tree, resample, suffix_dedup
+from redactlake.llm import decontaminate, divergence, html_tree, resample, suffix_dedup
 
 RNG = random.Random(5)
 WORDS = ["the", "of", "Alpha", "BETA", "gamma", "é", "naïve", "x1y", "42", "İ", "日本"]
@@ -186,3 +186,46 @@ def test_suffix_dedup_of_a_hot_row(spark):
     got = rows(suffix_dedup.digests(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", "n_passages"))
     assert got[7, 1140, 1140, 1, 1140, 1] == 3000 and got[9, 5, 0, 0, 0, 0] == 1
     assert sum(n for r, n in got.items() if r[0] == 8) == 1 and all(r[2] == 0 and r[4] == 300 for r in got if r[0] == 8)
+
+
+def matches_plainly(docs, bench, window=12, share=0.8):
+    """By laying every item along every document at each offset and looking at all masks there."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = set()
+    for (i, text), (j, item) in itertools.product(set(docs), set(bench)):
+        d, b = cut(text), cut(item)
+        for start in range(-len(b) + 1, len(d)):
+            same = [d[start + k] == w if 0 <= start + k < len(d) else None for k, w in enumerate(b)]
+            seeds = [(k, m) for m in decontaminate.MASKS for k in range(len(b) - max(m)) if 0 <= start + k and start + k + max(m) < len(d)]
+            hit = any(all(same[k + o] for o in m) for k, m in seeds)
+            if 3 <= len(b) <= window:
+                hit = hit or (None not in same and sum(same) >= math.ceil(share * len(b)))
+            hit = hit or (len(b) < 3 and d == b and start == 0)
+            laid = [x for x in same if x is not None]
+            width = min(window, len(laid))
+            if hit and max(sum(laid[k : k + width]) for k in range(len(laid) - width + 1)) >= math.ceil(share * width):
+                out.add((i, j, start, len(laid), sum(laid)))
+    return out
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_decontamination_against_all_places(spark, most):
+    rng = random.Random(12)
+    some = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    few, many = ["a", "b"], [f"w{k}" for k in range(40)]
+    items = [some(n, many) for n in (1, 2, 3, 5, 9, 12, 13, 20, 40)] + ["a " * 30, "a b c " * 10, some(25, few), None, ""]
+    near = lambda t: " ".join("zz" if rng.random() < 0.1 else w for w in t.split())
+    docs = [f"{some(rng.randint(0, 20), many)} {near(t or '')} {some(rng.randint(0, 20), many)}" for t in items] + [near(t or "") for t in items] + [t or "" for t in items] + ["a " * 90, "b a c " * 30, "c " + "a b c " * 20, some(80, few), None, "a " * 11 + "x " + "a " * 14]
+    held = list(enumerate(docs)) + [(0, docs[0]), (None, docs[1])]
+    df, bench = spark.createDataFrame(held, "doc_id long, text string").withColumn("seed", F.lit(1)), spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string").withColumn("before", F.lit(1))
+    got = rows(decontaminate._hits(df, bench, most_broadcast=most, most_bytes=most).select("doc_id", "item_id", "doc_start", "n_overlap", "n_equal"))
+    assert got == Counter(matches_plainly(held, list(enumerate(items))))
+
+
+def test_decontamination_of_a_repeated_phrase(spark):
+    """40,000 words of a phrase, or of one word, against 400 of it: as many hits as places."""
+    docs = spark.createDataFrame([(1, "all work and no play " * 8000), (2, "work " * 40_000), (3, "no work")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "all work and no play " * 80), (2, "work " * 400)], "item_id long, text string")
+    got = rows(decontaminate.contaminated(docs, bench))
+    assert got == Counter({(1, 1, 0, 400, 400): 1, (2, 2, 0, 400, 400): 1})
+    assert decontaminate.without_contaminated(docs, bench).select("doc_id").collect() == [(3,)]
