@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactlake.functions import spans as X
 from redactlake.functions import text as T
 from redactlake.operators.intervals import grid
 
@@ -19,6 +20,27 @@ def lines(tokens: DataFrame, least: float = 20.0) -> DataFrame:
     return rows.withColumn("_t", joined).select("video_id", "time_ms", "block", "par", "line", "tokens", F.col("_t.text").alias("text"), F.col("_t.spans").alias("spans"))
 
 
+def pattern_hits(read: DataFrame) -> DataFrame:
+    """read: the rows of `lines`. video_id, time_ms, ord, type, value, key (the normalised value), x, y, width, height (on the
+    unscaled frame), confidence (of the pattern), seen (of the recogniser): personal data and secrets with the box of the tokens they overlap.
+
+    Each line is searched twice, its tokens joined by a blank and by nothing, as a recogniser may tear a value apart. Of matches of
+    a frame with the same type, key and box the first stays: by line, blank first, then as `spans` orders them; `ord` counts in
+    that order from 1. A match over no token has no box and is left out. Null texts and empty tables give no rows; other columns are not read.
+    """
+    place = ["block", "par", "line"]
+    joined = F.array(F.struct("text", "spans"), T.tokens_text(F.transform("tokens", lambda t: t["text"]), ""))
+    each = read.select("video_id", "time_ms", *place, "tokens", F.posexplode(joined).alias("sep", "j"))
+    each = each.select("video_id", "time_ms", *place, "tokens", "sep", F.col("j.spans").alias("spans"), F.posexplode(X.spans(F.col("j.text"))).alias("nth", "m"))
+    boxed = each.withColumn("box", X.boxes_of(F.col("spans"), F.col("m"), F.col("tokens"))).where(F.col("box").isNotNull())
+    flat = boxed.select("video_id", "time_ms", *place, "sep", "nth", "m.type", "m.value", T.normalize(F.col("m.value")).alias("key"), "box.x", "box.y", "box.width", "box.height", "m.confidence", F.col("box.confidence").alias("seen"))
+    order = F.struct(*place, "sep", "nth")
+    same = ["video_id", "time_ms", "type", "key", "x", "y", "width", "height"]
+    first = flat.groupBy(*same).agg(F.min_by(F.struct("value", "confidence", "seen"), order).alias("f"), F.min(order).alias("o"))
+    nth = F.row_number().over(Window.partitionBy("video_id", "time_ms").orderBy("o"))
+    return first.select("video_id", "time_ms", nth.alias("ord"), "type", "f.value", "key", "x", "y", "width", "height", "f.confidence", "f.seen")
+
+
 def localize(findings: DataFrame, frames: DataFrame, step: int = 350, around: int = 700) -> DataFrame:
     """Where findings (video_id, id, value, start_ms, end_ms, duration_ms) stand on frames (video_id, time_ms, tokens: an array
     of strings): id, time_ms, places (of the tokens that hold the value), for each frame of the grid around a finding's interval that has it."""

@@ -10,7 +10,7 @@ from redactlake.functions import geometry as G
 from redactlake.functions import spans as X
 from redactlake.functions import text as T
 from redactlake.functions.jsonx import parse_findings
-from redactlake.operators import clustering, intervals, policy, report, sampling, tokens, tracking
+from redactlake.operators import clustering, codes, intervals, policy, report, sampling, tokens, tracking
 from redactlake.plans.common import DET, FND, ISL, ORACLE_SQL, PROF, query
 from redactlake.plans import text  # noqa: F401  its SQL is used here
 from redactlake.plans.engine import Engine, globalize, widen
@@ -176,16 +176,28 @@ def video_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.probe(videos).select("event_id", "duration_ms")
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens as a recogniser reads them, twelve words a line."""
+    each = A.text_tokens(spark, sf_dir).select("video_id", "time_ms", F.posexplode("tokens").alias("ord", "text"))
+    o = F.col("ord")
+    return each.select("video_id", "time_ms", F.lit(1).alias("block"), F.lit(1).alias("par"), F.floor(o / 12).cast("int").alias("line"), "ord", ((o * 37) % 1000).alias("x"), F.lit(5).alias("y"), F.lit(30).alias("width"), F.lit(12).alias("height"), ((o * 13 + F.length("text") * 7) % 100).alias("conf"), "text")
+
+
 @query("""WITH w AS (SELECT conv_id AS video_id, turn AS time_ms, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS ord FROM conversations),
 t AS (SELECT *, ord // 12 AS line, (ord * 37) % 1000 AS x, (ord * 13 + length(text) * 7) % 100 AS conf FROM w)
 SELECT video_id, time_ms, line::INTEGER AS line, string_agg(trim(text), ' ' ORDER BY x, ord) AS text, count(*)::INTEGER AS n FROM t WHERE trim(text) <> '' AND conf >= 20 GROUP BY video_id, time_ms, line""")
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = A.text_tokens(spark, sf_dir).select("video_id", "time_ms", F.posexplode("tokens").alias("ord", "text"))
-    o = F.col("ord")
-    read = each.select("video_id", "time_ms", F.lit(1).alias("block"), F.lit(1).alias("par"), F.floor(o / 12).cast("int").alias("line"), "ord", ((o * 37) % 1000).alias("x"), F.lit(5).alias("y"), F.lit(30).alias("width"), F.lit(12).alias("height"), ((o * 13 + F.length("text") * 7) % 100).alias("conf"), "text")
+    read = _read(spark, sf_dir)
     return tokens.lines(read).select("video_id", "time_ms", "line", "text", F.size("tokens").alias("n"))
 
 
+@query()
+def ocr_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From read tokens to findings: lines, patterns with boxes, sessions over the frames."""
+    read = tokens.lines(_read(spark, sf_dir).withColumn("time_ms", F.col("time_ms") * 350))
+    return codes.general_sessions(tokens.pattern_hits(read))
+
+
 @query("""WITH c AS (SELECT conv_id AS video_id, turn * 350 AS time_ms, text FROM conversations), f AS (SELECT conv_id AS video_id, string_split(text, ' ')[1] AS value FROM conversations WHERE turn = 1),
 n AS (SELECT video_id, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS v FROM f)
 SELECT c.video_id, count(*) AS n_frames, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM c JOIN n ON n.video_id = c.video_id AND length(v) >= 3 AND instr(regexp_replace(lower(c.text), '[^a-z0-9]', '', 'g'), v) > 0
