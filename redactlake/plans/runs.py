@@ -176,9 +176,9 @@ def video_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.probe(videos).select("event_id", "duration_ms")
 
 
-def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens as a recogniser reads them, twelve words a line."""
-    each = A.text_tokens(spark, sf_dir).select("video_id", "time_ms", F.posexplode("tokens").alias("ord", "text"))
+def _read(frames: DataFrame) -> DataFrame:
+    """frames: video_id, time_ms, tokens. Tokens as a recogniser reads them, twelve words a line."""
+    each = frames.select("video_id", "time_ms", F.posexplode("tokens").alias("ord", "text"))
     o = F.col("ord")
     return each.select("video_id", "time_ms", F.lit(1).alias("block"), F.lit(1).alias("par"), F.floor(o / 12).cast("int").alias("line"), "ord", ((o * 37) % 1000).alias("x"), F.lit(5).alias("y"), F.lit(30).alias("width"), F.lit(12).alias("height"), ((o * 13 + F.length("text") * 7) % 100).alias("conf"), "text")
 
@@ -187,15 +187,15 @@ def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT *, ord // 12 AS line, (ord * 37) % 1000 AS x, (ord * 13 + length(text) * 7) % 100 AS conf FROM w)
 SELECT video_id, time_ms, line::INTEGER AS line, string_agg(trim(text), ' ' ORDER BY x, ord) AS text, count(*)::INTEGER AS n FROM t WHERE trim(text) <> '' AND conf >= 20 GROUP BY video_id, time_ms, line""")
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _read(spark, sf_dir)
+    read = _read(A.text_tokens(spark, sf_dir))
     return tokens.lines(read).select("video_id", "time_ms", "line", "text", F.size("tokens").alias("n"))
 
 
 @query()
 def ocr_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From read tokens to findings: lines, patterns with boxes, sessions over the frames."""
-    read = tokens.lines(_read(spark, sf_dir).withColumn("time_ms", F.col("time_ms") * 350))
-    return codes.general_sessions(tokens.pattern_hits(read))
+    """From read tokens to findings: lines, patterns with boxes, sessions over the frames. Each document is a frame, a hundred of them a recording."""
+    frames = A.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("video_id"), (F.col("doc_id") % 100 * 350).alias("time_ms"), F.split("text", r"\s+").alias("tokens"))
+    return codes.general_sessions(tokens.pattern_hits(tokens.lines(_read(frames))))
 
 
 @query("""WITH c AS (SELECT conv_id AS video_id, turn * 350 AS time_ms, text FROM conversations), f AS (SELECT conv_id AS video_id, string_split(text, ' ')[1] AS value FROM conversations WHERE turn = 1),
