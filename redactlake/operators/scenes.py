@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(rows: DataFrame) -> DataFrame:
+def cut_lineage(rows: DataFrame) -> DataFrame:
     """The same rows with no lineage, in the folder of spark.checkpoint.dir."""
     _checkpoints(rows.sparkSession)
     return rows.checkpoint()
@@ -41,7 +41,7 @@ def scene_cuts(frames: DataFrame, least: float = 38.0, refractory: int = 800) ->
     before = F.lag("time_ms").over(every)
     # Where no pause follows, the next one lies less than twice `refractory` away; what is farther starts a chain itself.
     after = F.min("time_ms").over(every.rangeBetween(refractory, 2 * refractory - 1))
-    rows = _cut(found.select("video_id", "time_ms", (before.isNull() | (F.col("time_ms") - before >= refractory)).alias("is_cut"), after.alias("jump")))
+    rows = cut_lineage(found.select("video_id", "time_ms", (before.isNull() | (F.col("time_ms") - before >= refractory)).alias("is_cut"), after.alias("jump")))
     known = -1
     while known != (now := rows.where("is_cut").count()):
         known = now
@@ -49,7 +49,7 @@ def scene_cuts(frames: DataFrame, least: float = 38.0, refractory: int = 800) ->
         reached = rows.where("is_cut and jump is not null").select(F.col("video_id").alias("v"), F.col("jump").alias("t")).distinct().withColumn("hit", F.lit(True))
         further = rows.where("jump is not null").select(F.col("video_id").alias("v"), F.col("time_ms").alias("t"), F.col("jump").alias("far"))
         one = rows.join(reached, on(rows, reached, "time_ms"), "left").select("video_id", "time_ms", (F.col("is_cut") | F.col("hit").isNotNull()).alias("is_cut"), "jump")
-        rows = _cut(one.join(further, on(one, further, "jump"), "left").select("video_id", "time_ms", "is_cut", F.col("far").alias("jump")))
+        rows = cut_lineage(one.join(further, on(one, further, "jump"), "left").select("video_id", "time_ms", "is_cut", F.col("far").alias("jump")))
     return rows.where("is_cut").select("video_id", "time_ms")
 
 

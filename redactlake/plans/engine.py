@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redactlake.config import Config
 from redactlake.functions.jsonx import parse_findings
-from redactlake.operators import clustering, policy, tracking
+from redactlake.operators import clustering, policy, scenes, tracking
 from redactlake.operators.intervals import action, merge_findings
 
 _COLUMNS = ["video_id", "ord", "type", "value", "modality", "start_ms", "end_ms", "confidence", "reason", "source"]
@@ -67,7 +67,8 @@ class Engine:
         return out.withColumns({"ord": F.col("track_number").cast("bigint"), "type": F.lit("face"), "modality": F.lit("visual"), "reason": F.lit("tracked face"), "source": F.lit("face_detector")})
 
     def gallery(self, profiles: DataFrame) -> Gallery:
-        members = profiles.join(clustering.cluster(profiles, self.config.identity_threshold), ["video_id", "track_id"]).withColumn("person_id", F.format_string("person_%02d", "cluster"))
+        numbers = scenes.cut_lineage(clustering.cluster(profiles, self.config.identity_threshold))  # members and persons both read it: clustered once
+        members = profiles.join(numbers, ["video_id", "track_id"]).withColumn("person_id", F.format_string("person_%02d", "cluster"))
         persons = clustering.relabel(clustering.profiles_of(members, "person_id"), "person_id", "first_seen_ms")
         return Gallery(members, persons)
 
