@@ -129,19 +129,22 @@ def audio_padding(start: Column, end: Column, pad: int = 250) -> tuple[Column, C
 
 
 def _around(points: DataFrame, observations: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """points with prev (last observation before), next (first at or after), first and last of the key."""
+    """Each distinct point (key, time_ms) with prev (last observation before) and next (first at or after). Repeated points stand side by side in the window's order, so no table of all points is needed to find them."""
     box = F.struct("time_ms", *payload)
     both = points.select(key, "time_ms", F.lit(0).alias("_obs"), F.lit(None).cast(observations.select(box.alias("b")).schema["b"].dataType).alias("_box")).unionByName(observations.select(key, "time_ms", F.lit(1).alias("_obs"), box.alias("_box")))
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # such rows take far less room in a shuffle than in a sort: Spark would put too many in a task
     w = Window.partitionBy(key).orderBy("time_ms", "_obs")
     prev = F.last("_box", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     back = Window.partitionBy(key).orderBy(F.desc("time_ms"), F.desc("_obs"))  # a running frame, as one up to the end would be summed anew for each row
     nxt = F.last("_box", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("prev", prev).withColumn("next", nxt).where("_obs = 0").drop("_obs", "_box")
+    again = (F.lag("_obs").over(w) == 0) & F.lag("time_ms").over(w).eqNullSafe(F.col("time_ms"))  # points come before observations of their time
+    rows = both.withColumn("prev", prev).withColumn("_again", F.coalesce(again, F.lit(False))).withColumn("next", nxt)
+    return rows.where("_obs = 0 and not _again").drop("_obs", "_box", "_again")
 
 
 def interpolate(points: DataFrame, observations: DataFrame, key: str = "video_id") -> DataFrame:
     """The box at each point of time: the first or last observation outside their range, else linear between the two around it. One observation a time is expected."""
-    rows = _around(points.distinct(), observations, key, ["x", "y", "width", "height", "confidence"])
+    rows = _around(points, observations, key, ["x", "y", "width", "height", "confidence"])
     p, n = F.col("prev"), F.col("next")
     ratio = (F.col("time_ms") - p["time_ms"]) / F.greatest(F.lit(1), n["time_ms"] - p["time_ms"])
     mid = lambda c: p[c] + (n[c] - p[c]) * ratio
@@ -152,7 +155,7 @@ def interpolate(points: DataFrame, observations: DataFrame, key: str = "video_id
 
 def nearest(points: DataFrame, observations: DataFrame, key: str, payload: list[str]) -> DataFrame:
     """The observation nearest in time; of two as near, the earlier."""
-    rows = _around(points.distinct(), observations, key, payload)
+    rows = _around(points, observations, key, payload)
     p, n, t = F.col("prev"), F.col("next"), F.col("time_ms")
     box = F.when(n.isNull() | (p.isNotNull() & (t - p["time_ms"] <= n["time_ms"] - t)), p).otherwise(n)
     return rows.withColumn("nearest", box).drop("prev", "next")
@@ -160,5 +163,5 @@ def nearest(points: DataFrame, observations: DataFrame, key: str, payload: list[
 
 def next_frame(targets: DataFrame, frames: DataFrame, key: str, frame: str) -> DataFrame:
     """Each distinct target time with the first frame at or after it; targets beyond the last frame are left out."""
-    rows = _around(targets.distinct(), frames, key, [frame])
+    rows = _around(targets, frames, key, [frame])
     return rows.where(F.col("next").isNotNull()).select(key, "time_ms", F.col("next")[frame].alias(frame), F.col("next")["time_ms"].alias("frame_ms"))

@@ -34,7 +34,9 @@ def findings_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+    """A row a recording is little, its frames are much: a fixed number of parts, as Spark would put the recordings together in one task before they grow."""
     last = _timed_events(spark, sf_dir).groupBy(F.col("user_id").alias("video_id")).agg(F.max("time_ms").alias("last"))
+    last = last.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id", "last")
     return last.select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"), F.lit(step).cast("bigint"))).alias("time_ms"))
 
 
