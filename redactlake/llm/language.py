@@ -274,23 +274,32 @@ def _sureness(net: BiGru, labels: list[str]):
     return of
 
 
-def least_sure(docs: DataFrame, net: BiGru, labels: list[str], sample_docs: int = 2_500) -> float:
-    """The score below which a text is in no learned language: set from labelled rows that the network hasn't learned from (a bounded draw of each language), at LOW of that below which one in a hundred is, of the language with the lowest."""
+_FINE = 10_000  # scores are counted in steps of one in so many
+
+
+def _quantile(counts: list[tuple[int, int]], share: float) -> float:
+    """The quantile of values that occur so often, linear between two of them."""
+    counts = sorted(counts)
+    values, upto = np.array([v for v, _ in counts], dtype=np.float64), np.cumsum([n for _, n in counts])
+    at = share * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, k, "right")] for k in (np.floor(at), np.ceil(at)))
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
+def least_sure(docs: DataFrame, net: BiGru, labels: list[str]) -> float:
+    """The score below which a text is in no learned language: set from all labelled rows that the network hasn't learned from, at LOW of that below which one in a hundred is, of the language with the lowest. Spark counts their scores in steps of 1 / _FINE."""
     held = docs.where(F.col("lang").isin(labels) & F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("doc_id").cast("string")) % 3 == 1))
-    sizes = {r["lang"]: r["count"] for r in held.groupBy("lang").count().collect()}
-    if not sizes:
-        return min(0.5, 1.5 / len(labels))
-    quota = max(1, _quota(list(sizes.values()), sample_docs))
-    upto = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, quota / n) * (1 << 30)))) for x, n in sorted(sizes.items())), F.lit(0))
     of = _sureness(net, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sure = of()
         for pdf in batches:
-            yield pd.DataFrame({"lang": pdf["lang"], "sure": sure(list(pdf["text"]))})
+            yield pd.DataFrame({"lang": pdf["lang"], "step": np.floor(sure(list(pdf["text"])) * _FINE).astype(np.int32)})
 
-    drawn = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < upto).select("lang", "text").mapInPandas(run, "lang string, sure double").toPandas()  # `sample_docs` scores
-    return LOW * float(drawn.groupby("lang")["sure"].quantile(0.01).min()) if len(drawn) else min(0.5, 1.5 / len(labels))
+    by: dict[str, list[tuple[int, int]]] = {}
+    for r in held.select("lang", "text").mapInPandas(run, "lang string, step int").groupBy("lang", "step").count().collect():  # at most _FINE + 1 rows a language
+        by.setdefault(r["lang"], []).append((r["step"], r["count"]))
+    return LOW * min(_quantile(c, 0.01) for c in by.values()) / _FINE if by else min(0.5, 1.5 / len(labels))
 
 
 def keep_languages(docs: DataFrame, net: BiGru, labels: list[str], least: float | None = None) -> DataFrame:
