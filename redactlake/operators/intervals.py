@@ -117,10 +117,10 @@ def sessions(hits: DataFrame, interval: int = 350) -> DataFrame:
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, bucket: int) -> DataFrame:
-    """Pairs with start <= time <= end, as an equi-join on key and time bucket: an interval is repeated for each bucket that it touches, a point lies in one, so no pair comes twice."""
+    """Pairs with start <= time <= end, as an equi-join on key and time bucket: an interval is repeated for each bucket that it touches, a point lies in one, so no pair comes twice. Both sides are sorted: Spark takes what an explode makes, an interval's buckets or a recording's frames, for as many rows as before it, and would broadcast them."""
     into = lambda c: F.floor(F.col(c) / bucket)
     spread = intervals.where(F.col(end) >= F.col(start)).withColumn("_bucket", F.explode(F.sequence(into(start), into(end))))
-    return points.withColumn("_bucket", into(time)).join(spread, [key, "_bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_bucket")
+    return points.withColumn("_bucket", into(time)).join(spread.hint("merge"), [key, "_bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_bucket")
 
 
 def audio_padding(start: Column, end: Column, pad: int = 250) -> tuple[Column, Column]:
