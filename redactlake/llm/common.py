@@ -53,6 +53,20 @@ def saved(df: DataFrame, name: str, by_size: bool = False) -> DataFrame:
     return found
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """The same rows; a join with them shuffles and sorts both sides. For what an explode makes: Spark takes its rows for as many as before it, and would broadcast them."""
+    return df.hint("merge")
+
+
+def sized(table: DataFrame, most: int = 250_000) -> DataFrame:
+    """A saved table, whose join may be a broadcast if it was counted to have `most` rows at most: the files, by which Spark goes, can be many times smaller than the rows in memory."""
+    if table.count() <= most:
+        return table
+    found = sorted_join(table)
+    found.saved_at = table.saved_at
+    return found
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes saved tables, once all that is made of them is saved itself."""
     for t in tables:

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import forget, saved
+from redactlake.llm.common import forget, saved, sized
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     nodes = saved(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("at")), "nodes", by_size=True)
 
     def moved(rows: DataFrame, to: DataFrame, c: str) -> DataFrame:
-        return rows.join(to.select(F.col("a").alias(c), F.col("to").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        return rows.join(sized(to).select(F.col("a").alias(c), F.col("to").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
 
     for salt in count():
         if links.isEmpty():
@@ -42,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         links = moved(moved(links, to, "a"), to, "b").where("a <> b")
         links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", by_size=True)
         forget(*used)
+    nodes = sized(nodes)
     least = nodes.groupBy("at").agg(F.min("node").alias("root"))
     found = saved(nodes.join(least, "at").select("node", "root"), "components", by_size=True)
     forget(links, nodes)

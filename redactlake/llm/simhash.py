@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import forget, in_batches, row_keys, saved, table, text_or_empty
+from redactlake.llm.common import forget, in_batches, row_keys, saved, sized, sorted_join, table, text_or_empty
 from redactlake.llm.graph import components
 
 SEGMENTS = 5
@@ -113,10 +113,10 @@ def links(fps: DataFrame, most: int = 4, hot: int = 2_000) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     kept = lambda pairs: pairs.where((x < y) & _chains_hold(most)).where(_apart(x, y) <= most).select(x.alias("a"), y.alias("b"))
     if crowded.isEmpty():
-        return kept(probe.join(index, "key")).distinct()
-    pairs = kept(probe.join(index.join(crowded, "key", "left_anti"), "key"))
+        return kept(sorted_join(probe).join(index, "key")).distinct()
+    pairs = kept(sorted_join(probe).join(index.join(crowded, "key", "left_anti"), "key"))
     longer = saved(_third(index.join(crowded, "key"), "y", "longer", None, most), "longer-keys")
-    probe = _third(probe.join(crowded, "key"), "x", "longer", F.col("bits"), most)
+    probe = sorted_join(_third(probe.join(crowded, "key"), "x", "longer", F.col("bits"), most))
     packed = saved(longer.groupBy("longer").count().where(F.col("count") > hot).select("longer"), "packed-keys")
     if packed.isEmpty():
         return pairs.unionAll(kept(probe.join(longer.drop("start"), "longer"))).distinct()
@@ -129,7 +129,7 @@ def links(fps: DataFrame, most: int = 4, hot: int = 2_000) -> DataFrame:
     around = inside.select("x", F.explode(F.array(*(F.lit(m - (1 << 64) * (m >> 63)).cast("long") for m in sorted(masks)))).alias("mask")).select("x", x.bitwiseXOR(F.col("mask")).alias("middle"))
     around = saved(around, "middles")
     least = around.groupBy("middle").agg(F.min("x").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("middle", "a")
-    stars = around.join(least, "middle").where("a <> x").select("a", x.alias("b"))
+    stars = sorted_join(around).join(least, "middle").where("a <> x").select("a", x.alias("b"))
     return pairs.unionAll(stars).distinct()
 
 
@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, hot: int = 2
     Repeated doc_ids stay rows of their own. Rows with a null doc_id take part in links but are never the smallest of a
     component unless all of it is null. An empty table gives an empty result. Other columns are not read.
     """
-    fps = saved(fingerprints(docs, words), "fingerprints")
-    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    fps = sized(saved(fingerprints(docs, words), "fingerprints"))
+    distinct = sized(saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints"))
     roots = components(links(distinct.select("fp"), most, hot))
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("root_least"))
@@ -162,10 +162,10 @@ def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     keyed = docs.withColumns(dict(zip(_KEY, row_keys("doc_id", "text"), strict=True)))
     fps = saved(fingerprints(keyed, words, ("doc_id", *_KEY)), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *_KEY)
-    distinct = saved(fps.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    distinct = sized(saved(fps.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints"))
     roots = components(links(distinct.select("fp"), most))
     of_each = distinct.join(roots, distinct["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    of_each = saved(of_each.select(*(f"first.{k}" for k in _KEY)), "first-of-each")
+    of_each = sized(saved(of_each.select(*(f"first.{k}" for k in _KEY)), "first-of-each"))
     kept = keyed.join(of_each, list(_KEY), "left_semi")
     if not fps.join(of_each, list(_KEY), "left_semi").groupBy(*_KEY).count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(list(_KEY))
