@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import forget, in_batches, row_keys, saved, table, text_or_empty
+from redactlake.llm.common import forget, in_batches, row_keys, saved, sized, table, text_or_empty
 
 K = 64  # bytes of an anchor
+_LISTS = 25_000  # rows with lists that may be broadcast: half a KB each, as seen
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -177,7 +178,7 @@ def repeated_windows(rows: DataFrame, length: int = 400, block_bytes: int = 1_00
     rows = rows.where(F.length("bytes") >= length).select("k1", "k2", "bytes")
     every = saved(_occurrences(rows, length), "anchors")
     twice = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors-seen-twice")  # saved, so that Spark can split the join where an anchor is hot
-    occurrences = saved(every.join(twice, "anchor"), "repeated-anchors")
+    occurrences = saved(every.join(sized(twice), "anchor"), "repeated-anchors")
     forget(every, twice)
     context = ["anchor", "c1", "c2"]
     contexts = saved(occurrences.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_PLACE)).alias("at")), "contexts")
@@ -194,7 +195,7 @@ def repeated_windows(rows: DataFrame, length: int = 400, block_bytes: int = 1_00
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["k1", "k2", "anchor", "crowded", "alone", "lo", "bytes"])
 
-    pieces = rows.join(lists, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, anchor long, crowded boolean, alone boolean, lo int, bytes binary")
+    pieces = rows.join(sized(lists, _LISTS), ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, anchor long, crowded boolean, alone boolean, lo int, bytes binary")
     pieces = saved(pieces, "context-bytes")
     forget(lists)
     blocks = max(1, -(-pieces.where("not crowded").agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0] // block_bytes))
@@ -256,7 +257,7 @@ def _bytes_of(keyed: DataFrame) -> DataFrame:
 
 
 def _with(keyed: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    return keyed.join(spans.select(F.col("k1").alias(_OWN[0]), F.col("k2").alias(_OWN[1]), F.col("spans").alias(name)), list(_OWN[:2]), "left")
+    return keyed.join(sized(spans, _LISTS).select(F.col("k1").alias(_OWN[0]), F.col("k2").alias(_OWN[1]), F.col("spans").alias(name)), list(_OWN[:2]), "left")
 
 
 def runs_of(spans, length: int) -> list[tuple[int, int]]:
